@@ -197,8 +197,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicityM
     return model
 
 
-def toxicity_scores(docs: DataFrame, model: ToxicityModel, *keep: str) -> DataFrame:
-    """doc_id, held_out, score, predicted and the significant passages (first token, end, surprise) of every document; ``keep``: more columns of docs."""
+def toxicity_scores(docs: DataFrame, model: ToxicityModel) -> DataFrame:
+    """doc_id, held_out, score, predicted and the significant passages (first token, end, surprise) of every document."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     common.small_batches(docs.sparkSession)
     passage = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32()), ("surprise", pa.float64())]))
@@ -218,6 +218,21 @@ def toxicity_scores(docs: DataFrame, model: ToxicityModel, *keep: str) -> DataFr
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, passages array<struct<first:int,end:int,surprise:double>>")
 
 
+def reject_toxic(docs: DataFrame, model: ToxicityModel) -> DataFrame:
+    """docs without the rows whose score reaches THRESHOLD; all columns stay as they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    common.small_batches(docs.sparkSession)
+
+    def run(batches):
+        use = shared.value
+        for batch in batches:
+            got = [use.best(t or "") for t in batch.column("text").to_pylist()]
+            s = use.calibration.score(np.array([g[0] for g in got], float), np.array([g[1] for g in got], float))
+            yield batch.filter(pa.array(s < THRESHOLD))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     return toxicity_scores(docs, train(docs, common.table(spark, sf_dir, "labels")))
