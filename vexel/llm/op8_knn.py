@@ -103,8 +103,8 @@ def _join_dimension(rows: DataFrame, dim: int, top: float, k: int, every: int) -
     sent = placed.select("vec_id", "v", "square").mapInArrow(send, "qcell int, chunk long, vec_id long, v array<double>")
     parts = max(1, -(-max((n for _, n in reach.values()), default=0) // CHUNK))
     block = F.pmod(F.xxhash64("vec_id"), F.lit(parts))
-    asked = asked.select("qcell", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).cast("long").alias("chunk"), block.alias("block"), "vec_id", "v")
-    sent = sent.select("qcell", "chunk", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).cast("long").alias("block"), "vec_id", "v")
+    asked = asked.select("qcell", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))).alias("chunk"), block.alias("block"), "vec_id", "v")
+    sent = sent.select("qcell", "chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("block"), "vec_id", "v")
 
     def solve(_, left, right):
         names = ["query_id", "vec_id", "score"]
@@ -121,10 +121,10 @@ def _join_dimension(rows: DataFrame, dim: int, top: float, k: int, every: int) -
         for at in range(0, len(asks), 256):
             s = products(q[at : at + 256], x)
             own = asks[at : at + 256]
-            s[own[:, None] == ids[None, :]] = np.iinfo(np.int64).min
+            s[own[:, None] == ids[None, :]] = -np.iinfo(np.int64).max
             best = np.argsort(-s, axis=1, kind="stable")[:, :k]
             picked = np.take_along_axis(s, best, 1)
-            ok = picked > np.iinfo(np.int64).min
+            ok = picked > -np.iinfo(np.int64).max
             out.append((np.repeat(own, best.shape[1])[ok.reshape(-1)], ids[best][ok], picked[ok]))
         return pa.table([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names)
 
