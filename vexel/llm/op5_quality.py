@@ -75,7 +75,7 @@ class AdditiveModel:
     @staticmethod
     def fit(x: np.ndarray, y: np.ndarray) -> AdditiveModel:
         share = float(y.mean()) if len(y) else 0.5
-        if not 0 < share < 1:
+        if not len(y) or not 0 < share < 1:
             return AdditiveModel(base=float(np.log((share + 1e-3) / (1 - share + 1e-3))))
         m = AdditiveModel(base=float(np.log(share / (1 - share))))
         cut = lambda c, k: np.unique(np.quantile(c, np.linspace(0, 1, k + 1)[1:-1]))

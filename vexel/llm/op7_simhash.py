@@ -184,12 +184,13 @@ def near_duplicates(docs: DataFrame, dense: int = DENSE) -> DataFrame:
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """docs with one row of each group of near-duplicates, that of the least id. Rows without an id can't be named, so they stay."""
-    groups = near_duplicates(docs).where("doc_id is not null").select(F.col("doc_id").alias("_id"), "component_id")
-    kept = groups.where(F.col("_id") == F.col("component_id")).groupBy("_id").agg(F.count(F.lit(1)).alias("_n"))
-    joined = docs.join(kept, F.col("doc_id") == F.col("_id"), "left").where(F.col("_id").isNotNull() | F.col("doc_id").isNull())
-    once = joined.where("_n is null or _n = 1").select(*docs.columns)
+    groups = near_duplicates(docs).where("doc_id is not null").where(F.col("doc_id") == F.col("component_id"))
+    kept = groups.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).toDF("_vexel_id", "_vexel_n")
+    named, times = F.col("_vexel_id"), F.col("_vexel_n")
+    joined = docs.join(kept, docs["doc_id"] == named, "left").where(named.isNotNull() | docs["doc_id"].isNull())
+    once = joined.where(times.isNull() | (times == 1)).select(*docs.columns)
     # ids in several rows: one row of each (few, so these alone are dealt again)
-    again = joined.where("_n > 1").select(*docs.columns).dropDuplicates(["doc_id"])
+    again = joined.where(times > 1).select(*docs.columns).dropDuplicates(["doc_id"])
     return once.unionByName(again)
 
 
