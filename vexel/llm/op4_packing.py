@@ -109,10 +109,11 @@ def patterns(lengths: np.ndarray, capacity: int) -> np.ndarray:
     return np.concatenate([pairs, np.stack([x[ok], y[ok], z[ok]], axis=1)]).astype(np.int64)
 
 
-def fit(rows: np.ndarray, histogram: np.ndarray, steps: int = 400) -> np.ndarray:
-    """Non-negative repeat counts whose lengths come closest to the histogram in least squares."""
+def fit(rows: np.ndarray, histogram: np.ndarray, weights: np.ndarray, steps: int = 300) -> np.ndarray:
+    """Non-negative repeat counts whose lengths come closest to the histogram in weighted least squares."""
     n = len(histogram)
-    use = (rows > 0).astype(float)
+    use = (rows > 0) * weights[rows]
+    histogram = histogram * weights
     times = lambda x: sum(np.bincount(rows[:, k], x * use[:, k], n) for k in range(3))
     back = lambda r: sum(r[rows[:, k]] * use[:, k] for k in range(3))
     x = v = np.zeros(len(rows))
@@ -170,28 +171,39 @@ def best_fit(left: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int
     return done + [(g[0], g[1]) for groups in free.values() for g in groups]
 
 
+def rounded(rows: np.ndarray, x: np.ndarray, left: np.ndarray) -> tuple[list[tuple[tuple[int, ...], int]], np.ndarray]:
+    """Whole repeats of the patterns, never beyond what the histogram holds, and what is left of it."""
+    out, left = [], left.copy()
+    for k in np.argsort(-x, kind="stable"):
+        n = int(np.rint(x[k]))
+        if n < 1:
+            break
+        contents = tuple(int(c) for c in rows[k] if c)
+        n = min(n, *(int(left[c]) // contents.count(c) for c in contents))
+        if n:
+            out.append((contents, n))
+            for c in contents:
+                left[c] -= n
+    return out, left
+
+
 def plan(histogram: np.ndarray, capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
-    """(contents, repeats): together they hold every piece of the histogram."""
+    """(contents, repeats): together they hold every piece of the histogram.
+
+    Fits with equal weights and with weights by length, each rounded whole and in parts, are tried; the one with the fewest sequences counts.
+    """
     left = histogram.astype(np.int64).copy()
-    out = []
-    if left[capacity]:
-        out.append(((capacity,), int(left[capacity])))
-        left[capacity] = 0
-    lengths = np.flatnonzero(left)
-    rows = patterns(lengths, capacity)
+    full = [((capacity,), int(left[capacity]))] if left[capacity] else []
+    left[capacity] = 0
+    rows = patterns(np.flatnonzero(left), capacity)
+    tries = []
     if len(rows):
-        x = fit(rows, left.astype(float))
-        for k in np.argsort(-x, kind="stable"):
-            n = int(np.rint(x[k]))
-            if n < 1:
-                break
-            contents = tuple(int(c) for c in rows[k] if c)
-            n = min(n, *(int(left[c]) // contents.count(c) for c in contents))
-            if n:
-                out.append((contents, n))
-                for c in contents:
-                    left[c] -= n
-    return out + best_fit(left, capacity)
+        for weights in (np.ones(capacity + 1), (np.arange(capacity + 1) / capacity) ** 2):
+            x = fit(rows, left.astype(float), weights)
+            for part in (1.0, 0.8, 0.5, 0.2):
+                some, rest = rounded(rows, part * x, left)
+                tries.append(some + best_fit(rest, capacity))
+    return full + min(tries or [best_fit(left, capacity)], key=lambda t: sum(n for _, n in t))
 
 
 def places(planned: list[tuple[tuple[int, ...], int]]) -> np.ndarray:
