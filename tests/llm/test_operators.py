@@ -180,3 +180,33 @@ def test_one_of_each_stays(docs):
     got = op7_simhash.keep_one_of_each(docs)
     assert got.columns == docs.columns
     assert sorted(str(r.doc_id) for r in got.collect()) == sorted(str(i) for i in (1, 2, 3, 5, 6, 8, None))
+
+
+def test_line_pairs_verified_equal_brute_force(spark, monkeypatch):
+    from random import Random
+
+    from vexel.llm import op9_lines
+
+    def edits(a, b):
+        p = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            q = [i]
+            for j, y in enumerate(b, 1):
+                q.append(min(q[-1] + 1, p[j] + 1, p[j - 1] + (x != y)))
+            p = q
+        return p[-1]
+
+    r, words, lines = Random(2), ["ab", "é漢x", "lorem", "ip", "dolor", "qqqqqq", "z"], {}
+    for i in range(300):
+        a = [r.choice(words) for _ in range(r.randint(5, 30))]
+        b = list(a)
+        for _ in range(r.randint(0, 5)):
+            k = r.randrange(len(b))
+            b[k : k + 1] = r.choice(([r.choice(words)], [r.choice(words), b[k]], [] if len(b) > 5 else [b[k]]))
+        lines[2 * i], lines[2 * i + 1] = " ".join(a) + f" n{i}", " ".join(b) + f" n{i}"
+    pairs = [(2 * i, 2 * i + 1) for i in range(300)]
+    monkeypatch.setattr(op9_lines, "texts_of", lambda *_: spark.createDataFrame(list(lines.items()), "h long, t string"))
+    got = {tuple(x) for x in op9_lines.verified(spark.createDataFrame(pairs, "a long, b long"), None).collect()}
+    room = lambda a, b: int(max(len(a), len(b)) * (1 - op9_lines.SIMILAR) + 1e-9)
+    assert got == {(a, b) for a, b in pairs if edits(lines[a], lines[b]) <= room(lines[a], lines[b])}
+    assert 0 < len(got) < len(pairs)
