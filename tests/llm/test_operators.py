@@ -210,3 +210,18 @@ def test_line_pairs_verified_equal_brute_force(spark, monkeypatch):
     room = lambda a, b: int(max(len(a), len(b)) * (1 - op9_lines.SIMILAR) + 1e-9)
     assert got == {(a, b) for a, b in pairs if edits(lines[a], lines[b]) <= room(lines[a], lines[b])}
     assert 0 < len(got) < len(pairs)
+
+
+def test_lines_with_a_few_changed_words_are_found(spark):
+    """Pairs of edit similarity 0.8 or more, whose SimHashes differ in many bits; lines of other words stay."""
+    r, rows = random.Random(5), []
+    vocabulary = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(3000)]
+    for i in range(100):
+        words = r.choices(vocabulary, k=r.randint(15, 50))
+        copy = list(words)
+        for k in r.sample(range(len(words)), len(words) // 15):
+            copy[k] = r.choice(vocabulary)
+        rows += [(3 * i, " ".join(words)), (3 * i + 1, " ".join(copy)), (3 * i + 2, " ".join(r.choices(vocabulary, k=20)))]
+    got = {x.doc_id: x.n_lines_dropped for x in op9_lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[3 * i + 1] for i in range(100)) >= 97
+    assert not any(got[3 * i] or got[3 * i + 2] for i in range(100))
