@@ -27,7 +27,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of similar lines one occurrence stays; documents stay, if need be with an empty text."""
-    return _as_documents(op9_lines.dedup_lines(docs), docs)
+    return _as_documents(op9_lines.dedup_lines(docs, short=True), docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

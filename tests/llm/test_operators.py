@@ -225,3 +225,15 @@ def test_lines_with_a_few_changed_words_are_found(spark):
     got = {x.doc_id: x.n_lines_dropped for x in op9_lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert sum(got[3 * i + 1] for i in range(100)) >= 97
     assert not any(got[3 * i] or got[3 * i + 2] for i in range(100))
+
+
+def test_short_lines_repeat_once(spark, tmp_path):
+    """In the query and the pipeline equal lines of a few words are one line; blank lines and short lines that differ stay."""
+    import corpus_pipeline
+
+    rows = [(1, "All rights reserved.\n\nles.\n \nmenu a"), (2, "\nall  rights RESERVED.\nles.\nmenu b\n"), (3, "les.\nles.")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.text, r.n_lines_dropped) for r in op9_lines.op9_lines(spark, str(tmp_path)).collect()}
+    assert got == {1: (rows[0][1], 0), 2: ("\nmenu b\n", 2), 3: ("", 2)}
+    assert {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, str(tmp_path)).collect()} == {k: v[0] for k, v in got.items()}
