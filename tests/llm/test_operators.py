@@ -237,3 +237,14 @@ def test_short_lines_repeat_once(spark, tmp_path):
     got = {r.doc_id: (r.text, r.n_lines_dropped) for r in op9_lines.op9_lines(spark, str(tmp_path)).collect()}
     assert got == {1: (rows[0][1], 0), 2: ("\nmenu b\n", 2), 3: ("", 2)}
     assert {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, str(tmp_path)).collect()} == {k: v[0] for k, v in got.items()}
+
+
+def test_media_feature_reads_every_byte():
+    """The end of the payload counts, and short texts have fingerprints of their own."""
+    data = bytearray(LONG.encode()[:1000])
+    other = bytes(data[:-100] + bytes(reversed(data[-100:])))
+    assert op3_media.describe(bytes(data))[6] != op3_media.describe(other)[6]
+    short = [LONG[17 * k : 17 * k + size].encode() for k, size in enumerate((40, 64, 150, 300, 600, 700))]
+    found = [op3_media.describe(x) for x in short]
+    assert all(len(x[7]) for x in found) and len({x[6] for x in found}) == len(short)
+    assert not len(op3_media.describe(b"")[7])

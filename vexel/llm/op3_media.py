@@ -1,7 +1,8 @@
 """Media columns: texts' bytes as 8-bit WAV, short-time Fourier transform, spectral-peak pair fingerprints.
 
 Stored form: one channel, one byte a sample, 8000 samples a second, written and read by the ``wave``
-module. Frames of 512 samples, half overlapping, Hann window. In every frame the strongest local
+module. Frames of 512 samples, half overlapping, Hann window, zeros after the end, so that every byte is in frames;
+payloads under 768 bytes have frames 32 samples apart. In every frame the strongest local
 maxima of the magnitude spectrum are its peaks; each peak is paired with the peaks of the next frames.
 A pair is coded as one integer, time first: ``frame << 20 | bin << 11 | other bin << 2 | frames between``,
 so a fingerprint is a sorted array that can be cut by time.
@@ -24,6 +25,8 @@ from pyspark.sql import DataFrame, SparkSession
 from . import common
 
 FRAME, HOP, PEAKS, REACH, RATE = 512, 256, 2, 3, 8000
+#: Of payloads under FRAME + HOP bytes, which also get half a frame of zeros in front.
+SHORT_HOP = 32
 #: Frames transformed at once, which bounds the memory for a long text.
 BLOCK = 2048
 WINDOW = np.hanning(FRAME).astype(np.float32)
@@ -56,14 +59,16 @@ def from_wav(media: bytes) -> bytes:
 
 def spectral_peaks(samples: np.ndarray) -> np.ndarray:
     """frames x PEAKS bins of the strongest local maxima, -1 where there is none."""
-    if len(samples) < FRAME:
-        samples = np.concatenate([samples, np.zeros(FRAME - len(samples), samples.dtype)])
-    n = 1 + (len(samples) - FRAME) // HOP
+    hop = HOP
+    if len(samples) < FRAME + HOP:
+        hop, samples = SHORT_HOP, np.concatenate([np.zeros(FRAME // 2, samples.dtype), samples])
+    n = -(-len(samples) // hop)  # the last sample is in the first half of the last frame
+    samples = np.concatenate([samples, np.zeros((n - 1) * hop + FRAME - len(samples), samples.dtype)])
     found = np.full((n, PEAKS), -1, np.int64)
     for at in range(0, n, BLOCK):
         many = min(BLOCK, n - at)
-        part = samples[at * HOP : (at + many - 1) * HOP + FRAME]
-        frames = np.lib.stride_tricks.sliding_window_view(part, FRAME)[::HOP].astype(np.float32)
+        part = samples[at * hop : (at + many - 1) * hop + FRAME]
+        frames = np.lib.stride_tricks.sliding_window_view(part, FRAME)[::hop].astype(np.float32)
         frames -= frames.mean(axis=1, keepdims=True)
         spectrum = np.fft.rfft(frames * WINDOW, axis=1)
         power = np.floor(np.abs(spectrum)).astype(np.float32)  # whole numbers: far coarser than rounding errors
