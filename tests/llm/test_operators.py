@@ -182,7 +182,7 @@ def test_one_of_each_stays(docs):
     assert sorted(str(r.doc_id) for r in got.collect()) == sorted(str(i) for i in (1, 2, 3, 5, 6, 8, None))
 
 
-def test_line_pairs_verified_equal_brute_force(spark, monkeypatch):
+def test_line_pairs_verified_equal_brute_force(spark):
     from random import Random
 
     from vexel.llm import op9_lines
@@ -205,8 +205,8 @@ def test_line_pairs_verified_equal_brute_force(spark, monkeypatch):
             b[k : k + 1] = r.choice(([r.choice(words)], [r.choice(words), b[k]], [] if len(b) > 5 else [b[k]]))
         lines[2 * i], lines[2 * i + 1] = " ".join(a) + f" n{i}", " ".join(b) + f" n{i}"
     pairs = [(2 * i, 2 * i + 1) for i in range(300)]
-    monkeypatch.setattr(op9_lines, "texts_of", lambda *_: spark.createDataFrame(list(lines.items()), "h long, t string"))
-    got = {tuple(x) for x in op9_lines.verified(spark.createDataFrame(pairs, "a long, b long"), None).collect()}
+    texts = spark.createDataFrame(list(lines.items()), "h long, t string")
+    got = {tuple(x) for x in op9_lines.verified(spark.createDataFrame(pairs, "a long, b long"), texts).collect()}
     room = lambda a, b: int(max(len(a), len(b)) * (1 - op9_lines.SIMILAR) + 1e-9)
     assert got == {(a, b) for a, b in pairs if edits(lines[a], lines[b]) <= room(lines[a], lines[b])}
     assert 0 < len(got) < len(pairs)
