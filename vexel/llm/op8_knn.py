@@ -1,15 +1,18 @@
 """Exact top-k by inner product: a Voronoi kNN join.
 
-Vectors become whole numbers, ``floor(256 x)``. With M the largest norm, a vector x stands for the point (x, sqrt(M^2 - |x|^2)) and a query
-q for (q, 0): the nearer the point, the higher the inner product, so a metric join applies.
+Vectors become whole numbers, ``floor(256 x)``.
 
-1. A few pivots are drawn by a hash from the data; queries and data belong to the cell of their nearest pivot.
-2. Each data cell is summarised by its least and greatest distance to the pivot and the k + 1 least distances; each query cell by its greatest.
-3. For each query cell these give an upper bound of the k-th distance of any of its queries: the (k + 1)-th least of
-   ``greatest query distance + distance of pivots + distance in the data cell`` (one more, as a query may find itself).
-4. A vector is sent to a query cell only if ``distance of its point to the cell's pivot - greatest query distance`` is within
-   that bound. Cells are dealt out in chunks of bounded size, and each chunk is solved by exact matrix products; the best k of each
-   query and chunk are merged by Spark.
+1. Pivots are drawn by a hash from the data, about a quarter of the root of its rows (PIVOTS bounds them). Each vector belongs to the cell of its
+   nearest pivot; queries are data too, so they have a cell.
+2. Each cell is summarised by its rows, its radius (greatest distance to the pivot) and its greatest norm.
+3. Each query is solved within its own cell. Its k-th score there bounds its k-th score from below.
+4. A cell of pivot p, radius r and norm m has no score above ``min(q.p + |q| r, |q| m)``. Only where that reaches the query's bound is the
+   query sent to the cell and solved there. The best k of all its cells are the answer.
+
+A vector moves once for each QUERIES queries that its cell gets; cells and their queries are dealt out in blocks of bounded size, each solved by exact
+matrix products, so a cell that holds most rows is no single task. Where vectors have clusters, few cells are left in step 4; vectors that
+fill a sphere evenly have a k-th neighbour hardly nearer than any other, so that no exact bound leaves out a cell, and the join is a blocked product of
+all queries and all vectors.
 
 Queries: rows whose id is divisible by 50. Ties go to the smaller id. Defined results: vectors that are null or hold null or non-finite
 components take no part; vectors of other lengths never meet (each length is joined on its own); rows repeated with id and vector
@@ -25,7 +28,9 @@ from pyspark.sql import functions as F
 
 from . import common
 
-K, EVERY, PIVOTS, CHUNK = 5, 50, 16, 8192
+K, EVERY, PIVOTS = 5, 50, 4096
+#: Vectors and queries of a block.
+CHUNK, QUERIES = 8192, 4096
 SLACK = 1e-6
 
 
@@ -48,65 +53,63 @@ def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return (q @ x.T).astype(np.int64) if most < 2**53 else q.astype(np.int64) @ x.astype(np.int64).T
 
 
-def _join_dimension(rows: DataFrame, dim: int, top: float, k: int, every: int) -> DataFrame:
-    spark = rows.sparkSession
-    rows = rows.where(F.col("dim") == dim)
-    drawn = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(PIVOTS).collect()
-    pivots = np.array([r.v + [np.sqrt(max(0.0, top - r.square))] for r in drawn]).reshape(len(drawn), dim + 1)
+def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(0, (x * x).sum(1)[:, None] - 2 * (x @ pivots.T) + (pivots * pivots).sum(1)[None, :]))
+
 
-    def place(batches):
-        """Nearest pivot and distance as data, and as query."""
+def place(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """vec_id, v, square and cell (nearest pivot) and far (distance to it) of each vector, written to the shared folder."""
+    dim = pivots.shape[1]
+
+    def run(batches):
         for batch in batches:
-            if not len(batch):
-                continue
-            v = _matrix(batch.column("v"), dim)
-            lift = np.sqrt(np.maximum(0, top - batch.column("square").to_numpy()))
-            out = []
-            for last in (lift, np.zeros(len(v))):
-                d = np.sqrt(np.maximum(0, ((v[:, None, :] - pivots[None, :, :dim]) ** 2).sum(2) + (last[:, None] - pivots[None, :, dim]) ** 2))
-                out += [pa.array(d.argmin(1).astype(np.int32)), pa.array(d.min(1))]
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), batch.column("square"), *out], ["vec_id", "v", "square", "cell", "far", "qcell", "qfar"])
-
-    placed = common.materialize(rows.select("vec_id", "v", "square").mapInArrow(place, "vec_id long, v array<double>, square double, cell int, far double, qcell int, qfar double"), "cells")
-    asked = placed.where(F.col("vec_id") % every == 0)
-    reach = {r.qcell: (r.u, r.n) for r in asked.groupBy("qcell").agg(F.max("qfar").alias("u"), F.count(F.lit(1)).alias("n")).collect()}  # one row for each pivot
-    # the k + 1 least distances of each cell, found within (cell, slice) first, so no cell is one task
-    small = Window.partitionBy("cell", "slice").orderBy("far", "vec_id")
-    least = placed.select("cell", "far", "vec_id", F.pmod(F.xxhash64("vec_id"), F.lit(64)).alias("slice")).withColumn("r", F.row_number().over(small)).where(F.col("r") <= k + 1)
-    near: dict[int, list[float]] = {}
-    for r in least.select("cell", "far").collect():  # at most 64 (k + 1) rows for each pivot
-        near.setdefault(r.cell, []).append(r.far)
-    apart = np.sqrt(((pivots[:, None] - pivots[None]) ** 2).sum(2))
-    bound = np.full(len(pivots), -np.inf)
-    for i, (u, _) in reach.items():
-        away = np.sort(np.concatenate([u + apart[i, j] + np.sort(d)[: k + 1] for j, d in near.items()]))
-        bound[i] = away[k] if len(away) > k else np.inf
-    total = placed.count()
-    chunks = max(1, -(-total // CHUNK))
-
-    def send(batches):
-        """A row for each query cell that may need the vector."""
+            if len(batch):
+                d = _distances(_matrix(batch.column("v"), dim), pivots)
+                cell = d.argmin(1)
+                new = [pa.array(cell.astype(np.int32)), pa.array(d[np.arange(len(d)), cell])]
+                yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("vec_id", "v", "square")] + new, ["vec_id", "v", "square", "cell", "far"])
+
+    return common.materialize(rows.select("vec_id", "v", "square").mapInArrow(run, "vec_id long, v array<double>, square double, cell int, far double"), "cells")
+
+
+def sent(asked: DataFrame, pivots: np.ndarray, radius: np.ndarray, norm: np.ndarray) -> DataFrame:
+    """vec_id, v and cell: a row for each query and cell, other than its own, that may hold one of its best.
+
+    ``asked`` has vec_id, v, cell and least, a score that k others reach (null: there are fewer). Cells without rows have a negative norm.
+    """
+    dim = pivots.shape[1]
+
+    def run(batches):
         for batch in batches:
             if not len(batch):
                 continue
-            v = _matrix(batch.column("v"), dim)
-            lift = np.sqrt(np.maximum(0, top - batch.column("square").to_numpy()))
-            ids = batch.column("vec_id").to_numpy()
-            for i, (u, _) in reach.items():
-                d = np.sqrt(((v - pivots[i, :dim]) ** 2).sum(1) + (lift - pivots[i, dim]) ** 2)
-                rows = np.flatnonzero(d - u <= bound[i] * (1 + SLACK) + SLACK)
-                if len(rows):
-                    take = pa.array(rows)
-                    chunk = (ids[rows].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % chunks
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), i, np.int32)), pa.array(chunk), batch.column("vec_id").take(take), batch.column("v").take(take)], ["qcell", "chunk", "vec_id", "v"])
-
-    sent = placed.select("vec_id", "v", "square").mapInArrow(send, "qcell int, chunk long, vec_id long, v array<double>")
-    parts = max(1, -(-max((n for _, n in reach.values()), default=0) // CHUNK))
-    block = F.pmod(F.xxhash64("vec_id"), F.lit(parts))
-    asked = asked.select("qcell", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))).alias("chunk"), block.alias("block"), "vec_id", "v")
-    sent = sent.select("qcell", "chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("block"), "vec_id", "v")
-
-    def solve(_, left, right):
+            q = _matrix(batch.column("v"), dim)
+            long = np.sqrt((q * q).sum(1))[:, None]
+            most = np.minimum(q @ pivots.T + long * radius[None, :], long * norm[None, :])
+            least = batch.column("least").cast(pa.float64()).fill_null(-np.inf).to_numpy(zero_copy_only=False)
+            may = (most * (1 + SLACK * np.sign(most)) + SLACK >= least[:, None]) & (norm >= 0)[None, :]
+            may[np.arange(len(q)), batch.column("cell").to_numpy()] = False
+            row, cell = np.nonzero(may)
+            for at in range(0, len(row), CHUNK):
+                take = pa.array(row[at : at + CHUNK])
+                yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(take), batch.column("v").take(take), pa.array(cell[at : at + CHUNK].astype(np.int32))], ["vec_id", "v", "cell"])
+
+    return asked.select("vec_id", "v", "cell", "least").mapInArrow(run, "vec_id long, v array<double>, cell int")
+
+
+def solve(asked: DataFrame, placed: DataFrame, sizes: dict[int, int], dim: int, k: int) -> DataFrame:
+    """query_id, vec_id and score: at least the best k vectors for each query in the cell that its row names (a query may have several rows)."""
+    spark = placed.sparkSession
+    asks = {r.cell: r.n for r in asked.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row for each pivot
+    cells = [(c, -(-sizes[c] // CHUNK), -(-n // QUERIES)) for c, n in sorted(asks.items()) if c in sizes]
+    parts = F.broadcast(spark.createDataFrame(cells, "cell int, dparts long, qparts long"))  # one row for each pivot
+    upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    place_of = lambda c, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.col(c))
+    left = asked.join(parts, "cell").withColumn("qpart", place_of("qparts", 1)).select("cell", upto("dparts").alias("dpart"), "qpart", "vec_id", "v")
+    left = left.toDF("of_cell", "of_dpart", "of_qpart", "query_id", "q")  # names apart from the data's, as both may come from one table
+    right = placed.join(parts, "cell").withColumn("dpart", place_of("dparts", 2)).select("cell", "dpart", upto("qparts").alias("qpart"), "vec_id", "v")
+
+    def run(_, left, right):
         names = ["query_id", "vec_id", "score"]
         if not len(left) or not len(right):
             return pa.table([pa.array([], pa.int64())] * 3, names)
@@ -115,30 +118,55 @@ def _join_dimension(rows: DataFrame, dim: int, top: float, k: int, every: int) -
         x = _matrix(right.column("v").combine_chunks(), dim)
         order = np.argsort(ids, kind="stable")
         ids, x = ids[order], x[order]
-        asks = left.column("vec_id").to_numpy()
-        q = _matrix(left.column("v").combine_chunks(), dim)
+        asks = left.column("query_id").to_numpy()
+        q = _matrix(left.column("q").combine_chunks(), dim)
         out = []
         for at in range(0, len(asks), 256):
             s = products(q[at : at + 256], x)
             own = asks[at : at + 256]
             s[own[:, None] == ids[None, :]] = -np.iinfo(np.int64).max
-            best = np.argsort(-s, axis=1, kind="stable")[:, :k]
-            picked = np.take_along_axis(s, best, 1)
-            ok = picked > -np.iinfo(np.int64).max
-            out.append((np.repeat(own, best.shape[1])[ok.reshape(-1)], ids[best][ok], picked[ok]))
+            if len(ids) > 8 * k:  # all that reach the k-th score, then the best of these: ties stay in the order of the ids
+                kth = np.partition(s, len(ids) - k, axis=1)[:, len(ids) - k]
+                row, col = np.nonzero(s >= kth[:, None])
+            else:
+                row, col = np.divmod(np.arange(s.size), len(ids))
+            score = s[row, col]
+            best = np.lexsort((col, -score, row))
+            row, col, score = row[best], col[best], score[best]
+            first = np.searchsorted(row, row)  # where the row's entries begin
+            ok = (np.arange(len(row)) - first < k) & (score > -np.iinfo(np.int64).max)
+            out.append((own[row[ok]], ids[col[ok]], score[ok]))
         return pa.table([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names)
 
-    keys = ["qcell", "chunk", "block"]
-    found = asked.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInArrow(solve, "query_id long, vec_id long, score long")
+    keys = ["cell", "dpart", "qpart"]
+    return left.groupBy("of_cell", "of_dpart", "of_qpart").cogroup(right.groupBy(*keys)).applyInArrow(run, "query_id long, vec_id long, score long")
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def _join_dimension(rows: DataFrame, dim: int, n: int, k: int, every: int) -> DataFrame:
+    rows = rows.where(F.col("dim") == dim)
+    count = int(min(PIVOTS, max(1, np.ceil(np.sqrt(n) / 4))))
+    pivots = np.array([r.v for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(count).collect()])  # at most PIVOTS vectors
+    placed = place(rows, pivots)
+    radius, norm, sizes = np.zeros(len(pivots)), np.full(len(pivots), -1.0), {}
+    for r in placed.groupBy("cell").agg(F.max("far").alias("far"), F.max("square").alias("square"), F.count(F.lit(1)).alias("n")).collect():  # one row for each pivot
+        radius[r.cell], norm[r.cell], sizes[r.cell] = r.far, np.sqrt(r.square), r.n
+    asked = placed.where(F.col("vec_id") % every == 0)
+    near = common.materialize(_best(solve(asked.select("vec_id", "v", "cell"), placed, sizes, dim, k), k), "near")
+    least = near.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("least"))
+    far = common.materialize(sent(asked.join(least, "vec_id", "left"), pivots, radius, norm), "sent")
+    return _best(near.drop("rank").unionByName(solve(far, placed, sizes, dim, k)), k)
+
+
 def top_k(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
     """query_id, rank, vec_id, score."""
     rows = common.materialize(whole_vectors(vectors), "whole")
-    kinds = rows.groupBy("dim").agg(F.max("square").alias("top")).collect()  # one row for each length of vector
-    parts = [_join_dimension(rows, r.dim, r.top, k, every) for r in sorted(kinds) if r.dim]
+    kinds = rows.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()  # one row for each length of vector
+    parts = [_join_dimension(rows, r.dim, r.n, k, every) for r in sorted(kinds) if r.dim]
     if not parts:
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     out = parts[0]
