@@ -3,13 +3,14 @@
 1. Labelled training rows, at most ``SAMPLE`` by a hash of the id, are read once. Three of four count tokens in toxic and in other
    documents; the fourth calibrates.
 2. A token's toxic share has a Dirichlet prior centred on the share of its first letters (PREFIX of them), whose own prior is centred
-   on the overall share; so a rare form of a toxic stem counts as toxic, and a rare clean word doesn't. The token's score is the
-   log-odds of its share against the overall share. Only scores of at least LEAST are kept; a token that is not in the table has
-   the score of its prefix if that is kept, else ``-GAP``, which makes the expected score of clean text negative.
-3. A linear scan finds all maximal scoring segments of the token sequence: the disjoint passages whose score no extension or
+   on the overall share; so a rare form of a toxic stem counts as toxic, and a rare clean word doesn't. All tokens of the counting rows
+   enter these sums. The log-odds of a token's share against the overall share, less PENALTY for being in a passage at all, are its score; below
+   zero they count LEAK of that, as passages are mostly made of words that clean texts have too. So the expected score of clean text is negative.
+   A token in fewer than MIN_DOCS documents has the log-odds of its prefix, one whose prefix is in fewer than 2 MIN_DOCS those of the prior: 0.
+3. A linear scan over the scores of all tokens finds all maximal scoring segments: the disjoint passages whose score no extension or
    shortening would raise.
-4. Clean calibration documents give the location and scale of the extreme-value law of a document's best segment,
-   ``P(S >= s) = 1 - exp(-K n exp(-rate s))``. Passages whose surprise passes that law's ``SIGNIFICANT`` are reported; the surprise of the
+4. Clean calibration documents give the rate and scale of the extreme-value law of a document's best segment,
+   ``P(S >= s) = 1 - exp(-K n exp(-rate s))``, by maximum likelihood. Passages whose surprise passes that law's ``SIGNIFICANT`` are reported; the surprise of the
    best one, through a logistic fitted on the calibration rows, is the document's score.
 
 Defined results: null and empty texts have no passage; without toxic or without clean labels no token has a score and
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from . import common
 
 SAMPLE, HELD, THRESHOLD = 40_000, 5, 0.5
-PREFIX, STRENGTH, LEAST, GAP, MIN_DOCS, SIGNIFICANT = 4, 8.0, 2.0, 0.05, 4, 1e-3
+PREFIX, STRENGTH, PENALTY, LEAK, MIN_DOCS, SIGNIFICANT = 4, 8.0, 1.5, 0.03, 4, 1e-3
 EDGES = b".,;:!?\"'()[]{}*#%&$"
 
 
@@ -37,53 +38,65 @@ def tokens(text: str) -> list[bytes]:
     return [w.strip(EDGES) for w in text.encode().lower().split()]
 
 
+def token_score(odds: float) -> float:
+    return (odds - PENALTY) * (1.0 if odds > PENALTY else LEAK)
+
+
 @dataclass
 class Lexicon:
     words: dict[bytes, float] = field(default_factory=dict)
     prefixes: dict[bytes, float] = field(default_factory=dict)
 
     @staticmethod
-    def fit(rows: list[tuple[bytes, int, int]], toxic: int, clean: int) -> Lexicon:
-        """rows: token, toxic and clean training documents that hold it; toxic and clean: how many there are."""
+    def fit(rows: list[tuple[bytes, int, int]], toxic: int, clean: int, sums: dict[bytes, tuple[int, int]] | None = None) -> Lexicon:
+        """rows: token, toxic and clean training documents that hold it; toxic and clean: how many there are.
+
+        sums: the same two numbers of all tokens of a prefix; where they are given, rows may leave out tokens in fewer than MIN_DOCS documents.
+        """
         if not toxic or not clean:
             return Lexicon()
         share = toxic / (toxic + clean)
-        by_prefix: dict[bytes, list[int]] = {}
-        for w, t, c in rows:
-            if len(w) > PREFIX:
-                n = by_prefix.setdefault(w[:PREFIX], [0, 0])
-                n[0] += t
-                n[1] += c
-        odds = lambda s: np.log(s / (1 - s)) - np.log(share / (1 - share))
-        mean = {p: (t + STRENGTH * share) / (t + c + STRENGTH) for p, (t, c) in by_prefix.items()}
-        words = {}
-        for w, t, c in rows:
-            if t + c >= MIN_DOCS and w:
-                s = odds((t + STRENGTH * mean.get(w[:PREFIX] if len(w) > PREFIX else b"", share)) / (t + c + STRENGTH))
-                if s >= LEAST:
-                    words[w] = float(s)
-        prefixes = {p: float(s) for p, m in mean.items() if sum(by_prefix[p]) >= 2 * MIN_DOCS and (s := odds(m)) >= LEAST}
-        return Lexicon(words, prefixes)
-
-    def hits(self, text: str) -> tuple[list[int], list[float], int]:
-        """Places and scores of the tokens with positive scores, and the number of tokens."""
-        all_of = tokens(text)
-        word, prefix = self.words.get, self.prefixes.get
-        scores = [word(w) or prefix(w[:PREFIX]) for w in all_of]
-        at = [k for k, s in enumerate(scores) if s]
-        return at, [scores[k] for k in at], len(all_of)
-
-
-def maximal_segments(at: list[int], scores: list[float], gap: float = GAP) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments (first, end, score), each token between hits costing ``gap``.
+        if sums is None:
+            sums = {}
+            for w, t, c in rows:
+                if len(w) > PREFIX:
+                    n = sums.get(w[:PREFIX], (0, 0))
+                    sums[w[:PREFIX]] = (n[0] + t, n[1] + c)
+        odds = lambda s: float(np.log(s / (1 - s)) - np.log(share / (1 - share)))
+        mean = {p: (t + STRENGTH * share) / (t + c + STRENGTH) for p, (t, c) in sums.items()}
+        prior = lambda w: mean[w[:PREFIX]] if len(w) > PREFIX else share
+        words = {w: token_score(odds((t + STRENGTH * prior(w)) / (t + c + STRENGTH))) for w, t, c in rows if w and t + c >= MIN_DOCS}
+        return Lexicon(words, {p: token_score(odds(mean[p])) for p, n in sums.items() if sum(n) >= 2 * MIN_DOCS})
+
+    def scores(self, text: str) -> np.ndarray:
+        """Scores of all tokens; without a lexicon none is above zero."""
+        word, prefix, unseen = self.words.get, self.prefixes.get, token_score(0.0)
+        found = ((word(w), w) for w in tokens(text))
+        return np.array([prefix(w[:PREFIX], unseen) if s is None else s for s, w in found], float)
+
+
+def best_segment(scores: np.ndarray) -> float:
+    """The highest score of a segment; 0 if no token scores above zero."""
+    if not len(scores):
+        return 0.0
+    total = np.cumsum(scores)
+    lowest = np.minimum.accumulate(np.concatenate([[0.0], total[:-1]]))
+    return max(0.0, float((total - lowest).max()))
+
+
+def maximal_segments(at: list[int], scores: list[float], gap: float | list[float]) -> list[tuple[int, int, float]]:
+    """All maximal scoring segments (first, end, score).
+
+    ``at`` and ``scores`` are the tokens that score above zero, in order; ``gap`` is what each other token costs, or a list of what all those
+    between each of ``at`` and the one before it (or the beginning) cost.
 
     A list of candidates is kept with the cumulative score left of and at the end of each; a new hit is merged
     with the nearest candidate that begins lower, if that candidate ends lower. Each candidate is merged or passed once.
     """
     found: list[tuple[int, int, float, float, int]] = []  # first, end, left sum, right sum, index of nearest candidate with a lower left sum
     total, last = 0.0, 0
-    for place, score in zip(at, scores, strict=True):
-        total -= gap * (place - last)
+    for k, (place, score) in enumerate(zip(at, scores, strict=True)):
+        total -= gap[k] if isinstance(gap, list) else gap * (place - last)
         last = place + 1
         first, end, left, right = place, place + 1, total, total + score
         total = right
@@ -100,6 +113,14 @@ def maximal_segments(at: list[int], scores: list[float], gap: float = GAP) -> li
     return [(f, e, r - le) for f, e, le, r, _ in found]
 
 
+def passages_of(scores: np.ndarray) -> list[tuple[int, int, float]]:
+    """All maximal scoring segments (first, end, score) of a sequence of scores."""
+    at = np.flatnonzero(scores > 0)
+    total = np.concatenate([[0.0], np.cumsum(scores)])
+    before = np.concatenate([[0.0], total[at + 1][:-1]])
+    return maximal_segments(at.tolist(), scores[at].tolist(), (before - total[at]).tolist())
+
+
 @dataclass
 class Calibration:
     """Extreme-value law of clean documents' best segments, and a logistic of the surprise."""
@@ -115,11 +136,14 @@ class Calibration:
             return Calibration()
         clean = (y == 0) & (n > 0)
         c = Calibration()
-        # clean documents mostly have no positive token; those that have fix the tail's rate by its mean excess
         s, m = best[clean], n[clean].astype(float)
-        tail = s[s > 0]
-        c.rate = float(np.clip(1 / max(tail.mean() - LEAST + 0.5, 0.2) if len(tail) else 1.0, 0.2, 3.0))
-        c.k = float((len(tail) + 0.5) / max(1.0, (m * np.exp(-c.rate * LEAST)).sum()))
+        if len(s):  # for each rate the likeliest k is known; of a grid of rates the likeliest counts
+            fits = []
+            for rate in np.geomspace(0.05, 4.0, 128):
+                expect = m * np.exp(-rate * s)
+                k = len(s) / expect.sum()
+                fits.append((len(s) * np.log(k * rate) - (rate * s).sum() - k * expect.sum(), float(rate), float(k)))
+            _, c.rate, c.k = max(fits)
         x = np.minimum(c.surprise(best, n), 60)
         w = np.array([-3.0, 0.5])
         a = np.stack([np.ones_like(x), x], axis=1)
@@ -156,13 +180,13 @@ class ToxicityModel:
     calibration: Calibration
 
     def best(self, text: str) -> tuple[float, int]:
-        at, scores, n = self.lexicon.hits(text)
-        return max((s for _, _, s in maximal_segments(at, scores)), default=0.0), n
+        scores = self.lexicon.scores(text)
+        return best_segment(scores), len(scores)
 
     def passages(self, text: str) -> list[tuple[int, int, float]]:
         """Significant passages: first token, end, surprise."""
-        at, scores, n = self.lexicon.hits(text)
-        out = [(f, e, float(self.calibration.surprise(np.array([s]), np.array([n]))[0])) for f, e, s in maximal_segments(at, scores)]
+        scores = self.lexicon.scores(text)
+        out = [(f, e, float(self.calibration.surprise(np.array([s]), np.array([len(scores)]))[0])) for f, e, s in passages_of(scores)]
         return [x for x in out if x[2] >= -np.log(SIGNIFICANT)]
 
 
@@ -174,15 +198,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicityM
     sizes = {r[0]: r[1] for r in rows.where(fold > 0).groupBy((F.col("y") > 0).cast("int")).count().collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     counted = rows.where(fold > 0).select("text", "y").mapInArrow(_token_rows, "token binary, t long, c long").groupBy("token").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
-    # Prefix counts need every token, but a prefix or token without a toxic document can't score: those stay on the executors.
+    # every token counts for its prefix; what is collected is bounded by the sample: tokens and prefixes in several of its documents
     prefix = F.when(F.length("token") > PREFIX, F.substring("token", 1, PREFIX))
-    sums = counted.withColumn("prefix", prefix)
-    hot = sums.where("t > 0").groupBy("prefix").agg(F.sum("t").alias("pt")).where(F.col("pt") >= MIN_DOCS).select("prefix")
-    kept = [(bytes(r.token), r.t, r.c) for r in sums.where(F.col("t") >= 2).select("token", "t", "c").collect()]
-    rest = sums.where(F.col("t") < 2).join(hot, "prefix", "left_semi").groupBy("prefix").agg(F.sum("t").alias("t"), F.sum("c").alias("c")).collect()
-    # what a prefix has besides the kept tokens enters as one nameless token of that prefix
-    kept += [(bytes(r.prefix) + b"\x00", r.t, r.c) for r in rest if r.prefix is not None]
-    lexicon = Lexicon.fit(sorted(kept), toxic, clean)
+    counted = common.materialize(counted, "counts")
+    sums = counted.select(prefix.alias("prefix"), "t", "c").where("prefix is not null").groupBy("prefix").agg(F.sum("t").alias("t"), F.sum("c").alias("c")).where(F.col("t") + F.col("c") >= MIN_DOCS)
+    sums = {bytes(r.prefix): (r.t, r.c) for r in sums.collect()}
+    kept = sorted((bytes(r.token), r.t, r.c) for r in counted.where(F.col("t") + F.col("c") >= MIN_DOCS).collect())
+    lexicon = Lexicon.fit(kept, toxic, clean, sums)
     model = ToxicityModel(lexicon, Calibration())
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -209,7 +231,8 @@ def toxicity_scores(docs: DataFrame, model: ToxicityModel) -> DataFrame:
             all_of = [t.as_py() for t in batch.column("text")]
             got = [use.best(t) for t in all_of]
             s = use.calibration.score(np.array([g[0] for g in got], float), np.array([g[1] for g in got], float))
-            found = [[dict(zip(("first", "end", "surprise"), p, strict=True)) for p in use.passages(t)] if g[0] > 0 else [] for t, g in zip(all_of, got, strict=True)]
+            far = use.calibration.surprise(np.array([g[0] for g in got], float), np.array([g[1] for g in got], float)) >= -np.log(SIGNIFICANT)  # else no passage is significant
+            found = [[dict(zip(("first", "end", "surprise"), p, strict=True)) for p in use.passages(t)] if f else [] for t, f in zip(all_of, far, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").cast(pa.int64()), batch.column("held_out"), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32)), pa.array(found, passage)], ["doc_id", "held_out", "score", "predicted", "passages"]
             )
