@@ -6,13 +6,17 @@ with all class vectors, normalised over all classes, give the class's probabilit
 probability of its group times its smoothed share of it, so the probabilities of all words add up to one.
 
 1. Count the tokens of all training texts (summed by task before the shuffle).
-2. Train on all training texts: every task makes one pass over its texts by noise-contrastive estimation from the same start; the tasks'
-   parameters are averaged, weighted by their tokens (summed by Spark, parameter by parameter).
+2. Train on all training texts. They are dealt by a hash of id and text to shards of about SHARD tokens, and the shards to ROUNDS rounds. In each round every
+   shard makes one pass over its texts, in the order of their ids, by noise-contrastive estimation from the round's start; the shards'
+   parameters are averaged, weighted by their tokens (summed by Spark, parameter by parameter), and are the next round's start. So
+   neither the layout of the table nor the cluster has a part in the model.
 3. Score all texts. Words of HEAD, a table bounded by its entries and their length, are scored in the task; the counts of
    all others come from a join on the word, so no vocabulary that grows with the input is sent around.
 
 Defined results: null and empty texts are one end token; without training texts every token has base 0.1/0.1; a text's context
 begins with end tokens; repeated rows are scored each; an empty table gives none.
+
+The classes are few beside the vocabulary, as each token's probability is normalised over all of them: words beyond the WORDS most frequent have no vector of their own.
 """
 
 from __future__ import annotations
@@ -29,10 +33,11 @@ from pyspark.sql import functions as F
 from . import common
 
 HELD = 10
-WORDS, BUCKETS, HEAD, LONGEST = 191, 64, 150_000, 64
+WORDS, BUCKETS, HEAD, LONGEST = 447, 64, 150_000, 64
 DIM, CONTEXT, NOISE, BATCH, BLOCK, RATE = 16, 4, 24, 4096, 512, 0.15
 CLASSES = WORDS + 1 + BUCKETS
 END = WORDS
+SHARD, ROUNDS = 1 << 21, 4
 #: Words a task gathers before it counts them and passes the sums on.
 FLUSH = 4_000_000
 
@@ -244,39 +249,54 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     return Vocabulary([(bytes(r.token), r.c) for r in head], total, distinct, groups)
 
 
-def train_model(train: DataFrame, words: Vocabulary) -> Parameters:
-    spark = train.sparkSession
-    shared = spark.sparkContext.broadcast((words, Parameters.start(words.unigram)))
+def encoded(train: DataFrame, words: Vocabulary) -> DataFrame:
+    """shard, doc_id, h (hash of the text) and the text's classes, each two bytes, of every training text, written to the shared folder."""
+    shared = train.sparkSession.sparkContext.broadcast(words)
+    shards = max(ROUNDS, -(-words.total // SHARD))
 
     def run(batches):
-        use, start = shared.value
-        trainer = Trainer(start, use.unigram)
-        kept: list[tuple[np.ndarray, np.ndarray]] = []
-        waiting = 0
         for batch in batches:
-            classes, lengths = use.sequence(batch.column("text"))[3:]
-            kept.append((contexts_of(classes, lengths), classes))
-            waiting += len(classes)
-            contexts, targets = (np.concatenate(x) for x in zip(*kept, strict=True))
-            whole = waiting - waiting % BATCH
-            order = trainer.rng.permutation(whole)
-            for at in range(0, whole, BATCH):
-                part = order[at : at + BATCH]
-                trainer.step(contexts[part], targets[part])
-            kept, waiting = [(contexts[whole:], targets[whole:])], waiting - whole
-        if waiting:
-            trainer.step(*kept[0])
-        if trainer.seen:
-            flat = trainer.p.flat() * trainer.seen
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat), pa.array(np.full(len(flat), float(trainer.seen)))], ["k", "x", "w"])
-
-    rows = train.select("text").mapInArrow(run, "k long, x double, w double").groupBy("k").agg((F.sum("x") / F.sum("w")).alias("x")).collect()  # one row for each parameter
-    if not rows:
-        return Parameters.start(words.unigram)
-    flat = np.empty(len(rows))
-    for r in rows:
-        flat[r.k] = r.x
-    return Parameters.of(flat)
+            classes, lengths = shared.value.sequence(batch.column("text"))[3:]
+            ends = np.concatenate([[0], np.cumsum(lengths)]) * 2
+            flat = pa.py_buffer(classes.astype("<u2").tobytes())
+            packed = pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(ends.astype(np.int64)), flat]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("shard", "doc_id", "h")), packed], ["shard", "doc_id", "h", "classes"])
+
+    rows = train.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).alias("shard"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
+    return common.materialize(rows.mapInArrow(run, "shard long, doc_id long, h long, classes binary"), "encoded")
+
+
+def _train_shard(shared):
+    def run(key, table):
+        unigram, start = shared.value
+        trainer = Trainer(start, unigram, 11 + key[0].as_py())
+        table = table.sort_by([("doc_id", "ascending"), ("h", "ascending")])
+        parts = [np.frombuffer(x.as_py(), "<u2").astype(np.int32) for x in table.column("classes")]
+        targets = np.concatenate(parts)
+        contexts = contexts_of(targets, np.array([len(x) for x in parts]))
+        order = trainer.rng.permutation(len(targets))
+        for at in range(0, len(order), BATCH):
+            part = order[at : at + BATCH]
+            trainer.step(contexts[part], targets[part])
+        flat = trainer.p.flat() * trainer.seen
+        return pa.table({"k": pa.array(np.arange(len(flat))), "x": pa.array(flat), "w": pa.array(np.full(len(flat), float(trainer.seen)))})
+
+    return run
+
+
+def train_model(train: DataFrame, words: Vocabulary) -> Parameters:
+    texts = encoded(train, words)
+    model = Parameters.start(words.unigram)
+    for turn in range(ROUNDS):
+        shared = train.sparkSession.sparkContext.broadcast((words.unigram, model))
+        trained = texts.where(F.col("shard") % ROUNDS == turn).groupBy("shard").applyInArrow(_train_shard(shared), "k long, x double, w double")
+        rows = trained.groupBy("k").agg((F.sum("x") / F.sum("w")).alias("x")).collect()  # one row for each parameter
+        if rows:
+            flat = np.empty(len(rows))
+            for r in rows:
+                flat[r.k] = r.x
+            model = Parameters.of(flat)
+    return model
 
 
 def _score_batches(shared):
