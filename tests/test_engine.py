@@ -1,4 +1,4 @@
-import math
+import json
 
 import duckdb
 import numpy as np
@@ -20,7 +20,7 @@ def duck():
     return c
 
 
-@pytest.mark.parametrize("name", ["flat_l2_topk", "dot_topk", "filtered_topk", "kmeans_fit", "list_sizes", "ivfpq_search", "ivfpq_rerank", "recall_at_k", "latency_percentiles", "token_parse", "gold_fraction"])
+@pytest.mark.parametrize("name", ["flat_l2_topk", "dot_topk", "filtered_topk", "kmeans_fit", "list_sizes", "normalize_sql", "contact_sheet", "gold_tokens", "adc_lut", "brute_force_all", "ivfpq_search", "ivfpq_rerank", "recall_at_k", "latency_percentiles", "token_parse", "gold_fraction"])
 def test_oracle(spark, duck, name):
     df = catalog.QUERIES[name](spark, SF)
     cols = sorted(df.columns)
@@ -91,7 +91,6 @@ def test_traits_and_tokens(spark):
     rows = spark.createDataFrame([([("Fur", "Red"), ("Fur", "Blue")], "https://x/y/123/"), ([], "https://x/9?z=1")], "a array<struct<trait_type string, value string>>, u string")
     got = rows.select(ingest.trait_map(rows.a).alias("t"), vectors.token_of_url("u").alias("token")).collect()
     assert got[0].t == {"Fur": "Blue"} and [r.token for r in got] == ["123", "9"]
-    assert math.isnan(0.0) is False
     zero = spark.createDataFrame([([0.0, 0.0],)], "v array<float>").select(vectors.normalize("v").alias("u")).first().u
     assert zero == [None, None]
 
@@ -102,14 +101,103 @@ def test_service(spark):
     s = Service(catalog.emb(spark, SF), id_col="vec_id", encoder=ingest.HashingEncoder(64))
     assert s.handle("GET", "/api/info")[1]["n"] == 500
     assert s.handle("POST", "/api/search_vector", b'{"vector": [1]}')[0] == 400
-    assert s.handle("GET", "/search?q=a&k=3")[1]["n"] == 3
+    found = s.handle("GET", "/search?q=a&k=3")[1]
+    assert found["n"] == 500 and [r["rank"] for r in found["results"]] == [1, 2, 3]
+    v = catalog.emb(spark, SF).where("vec_id = 7").first().embedding
+    first = s.handle("POST", "/api/search_vector", json.dumps({"vector": v, "k": 2}).encode())[1]["results"][0]
+    assert (first["token"], first["score"]) == (7, 1.0)
     assert s.handle("GET", "/nope")[0] == 404
 
 
 def test_stream(spark, tmp_path):
     from vexel.streaming.search import stream_search
 
-    catalog.asked(spark, SF, 4).write.parquet(f"{tmp_path}/in")
+    catalog.asked(spark, SF, 1).where("qid < 4").write.parquet(f"{tmp_path}/in")
     source = spark.readStream.schema("qid long, embedding array<float>").parquet(f"{tmp_path}/in")
     stream_search(source, lambda q: topk.exact_topk(catalog.emb(spark, SF), q, 3, id_col="vec_id"), f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/out").count() == 12
+
+
+def test_queries_in_blocks(spark, monkeypatch):
+    """More queries than one block: the same hits, and nothing but counts comes to the driver."""
+    v, q = catalog.emb(spark, SF), catalog.asked(spark, SF, 3)
+    want = {p: sorted(map(tuple, topk.exact_topk(v, q, 4, id_col="vec_id", product=p).collect())) for p in (False, True)}
+    monkeypatch.setattr(topk, "BLOCK_BYTES", 64 * 8 * 40)
+    monkeypatch.setattr(topk, "ROWS", 100)
+    for p, rows in want.items():
+        assert sorted(map(tuple, topk.exact_topk(v, q, 4, id_col="vec_id", product=p).collect())) == rows
+    assert topk.exact_topk(v, q.where("qid < 0"), 4, id_col="vec_id").count() == 0
+
+
+def test_nearest_equals_plain_sums():
+    r = np.random.default_rng(1)
+    for scale in (1, 1e-6, 1e4):
+        x, c = (r.integers(-3, 4, (500, 6)) * scale).astype(np.float32), (r.integers(-3, 4, (40, 6)) * scale).astype(np.float32)  # many ties
+        assert quantize.nearest(x, c, 64).tolist() == quantize.distances(x, c).argmin(1).tolist()
+
+
+def test_lloyd_on_all_equals_driver(spark):
+    v = catalog.emb(spark, SF)
+    x = np.array([r[0] for r in v.orderBy("vec_id").select("embedding").collect()], np.float32)
+    assert np.allclose(quantize.lloyd_on_all(v.repartition(7), x[:8], 3), quantize.lloyd(x, x[:8], 3), atol=1e-6)
+
+
+def test_index_recall(spark):
+    assert catalog.index_recall(spark, SF).first().recall >= 0.9
+
+
+def test_service_with_index_and_baseline(spark, tmp_path):
+    from functools import partial
+
+    from vexel.serve import Service
+
+    spec = synthetic.DatasetSpec(d=8, num_centers=200)
+    v = synthetic.synthetic_vectors(spark, spec, 2000)
+    index = ivfpq.build(v, f"file://{tmp_path}/index", ivfpq.BuildParams(nlist=16, m=4, ksub=16, n_train=1000, coarse_iters=2, pq_iters=2))
+    queries = synthetic.planted_queries(spark, spec, 2000, 6)
+    s = Service(v, index=index, queries=queries, vectors_of=partial(synthetic.vectors_of, spec=spec), nprobe=16, rerank=200)
+    got = [s.handle("GET", f"/api/search?j={j}&k=3")[1] for j in range(6)]
+    assert sum(g["hit"] for g in got) >= 5 and all(len(g["results"]) == 3 for g in got)
+    assert [h.id for h in ivfpq.search_and_rerank(index, v, queries.where("qid = 2"), 16, 3, 200).orderBy("rank").collect()] == [r["id"] for r in got[2]["results"]]
+    took = ivfpq.latencies(index, partial(synthetic.vectors_of, spec=spec), queries, 4, 3, 50, untimed=1)
+    assert len(took) == 6 and min(took) > 0
+    words = ["golden fur ape", "blue ape", "ape"]
+    e = ingest.HashingEncoder(64)
+    table = spark.createDataFrame([(i, (e([w])[0] / np.linalg.norm(e([w])[0])).tolist()) for i, w in enumerate(words)], "id long, embedding array<float>")
+    plain, moved = (Service(table, encoder=e, baseline=b).search_text("golden fur ape", 3)["results"] for b in ("", "ape"))
+    share = lambda found: next(r["score"] for r in found if r["token"] == 2)
+    assert share(moved) < share(plain)
+
+
+def test_flat_files_round_trip(spark, tmp_path):
+    from vexel.sources import flat
+
+    v = spark.createDataFrame([(5, [1.0, 2.0]), (3, [0.5, -1.0])], "token long, embedding array<float>")
+    flat.write_flat(v, f"{tmp_path}/x", "m")
+    back, meta = flat.open_flat(spark, f"{tmp_path}/x")
+    assert meta == {"d": 2, "n": 2, "model": "m"} and sorted(map(tuple, back.collect())) == [(3, [0.5, -1.0]), (5, [1.0, 2.0])]
+    with open(f"{tmp_path}/x/embeddings.f32", "ab") as f:
+        f.write(b"\x00\x00\x80\x3f\x01")
+    assert flat.read_floats(spark, f"{tmp_path}/x/embeddings.f32").tolist() == [0.5, -1.0, 1.0, 2.0, 1.0]
+    with pytest.raises(ValueError):
+        flat.open_flat(spark, f"{tmp_path}/x")
+
+
+def test_embeddings_are_written(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a b"), (2, None), (3, "b b b")], "id long, text string")
+    out = ingest.write_embeddings(rows, ingest.HashingEncoder(16), str(tmp_path), "id", "text", "hash")
+    assert sorted(r.id for r in out.collect()) == [1, 2, 3]
+    assert json.loads(spark.read.text(f"{tmp_path}/meta").first()[0]) == {"n": 3, "d": 16, "model": "hash"}
+
+
+def test_command_line(spark, tmp_path, capsys, monkeypatch):
+    from vexel import cli
+
+    monkeypatch.setattr(cli, "get_session", lambda: spark)
+    data = ["--n", "600", "--dim", "8", "--centers", "50", "--dir", f"file://{tmp_path}/index"]
+    cli.main(["build", "--nlist", "8", "--m", "4", "--ksub", "16", "--coarse-iters", "2", "--pq-iters", "2", *data])
+    cli.main(["bench", "--nq", "3", "--nprobe", "8", "--k", "5", "--rerank", "50", *data])
+    cli.main(["recall", "--nq", "3", "--nprobe", "8", "--k", "5", "--rerank", "600", *data])
+    built, bench, recall = (json.loads(x) for x in capsys.readouterr().out.splitlines() if x.startswith("{"))
+    assert built["n"] == 600 and set(bench["single_query_ms"]) == {"mean", "p50", "p90", "p99", "max", "p99_under_100"}
+    assert recall["recall"] == 1.0 and recall["planted_recall"] == 1.0

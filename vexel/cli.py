@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import argparse
+import importlib
 import json
 import time
+from dataclasses import replace
+from functools import partial
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from .operators import evaluate, ivfpq, topk
@@ -34,7 +38,11 @@ def parser() -> argparse.ArgumentParser:
     ):
         p.add_argument("--center-scale", type=float, default=1.0)
         p.add_argument("--noise", type=float, default=0.2)
-    command("serve-flat", port=8091)
+    sub.choices["bench"].add_argument("--warmup", choices=("true", "false"), default="true")
+    p = command("serve-flat", port=8091)
+    p.add_argument("--encoder", help="module:name of a function from texts to vectors")
+    p.add_argument("--baseline", default="", help="a text whose vector is subtracted from each query's, times alpha")
+    p.add_argument("--alpha", type=float, default=0.5)
     return top
 
 
@@ -45,7 +53,9 @@ def main(argv: list[str] | None = None) -> None:
         from .serve import Service, serve
 
         vectors, meta = flat.open_flat(spark, a.dir)
-        serve(Service(vectors, id_col="token", model=meta["model"]), a.port).serve_forever()
+        module, _, name = (a.encoder or "").partition(":")
+        encoder = getattr(importlib.import_module(module), name) if name else None
+        serve(Service(vectors, id_col="token", model=meta["model"], encoder=encoder, baseline=a.baseline, alpha=a.alpha), a.port).serve_forever()
         return
     spec = synthetic.DatasetSpec(a.dim, a.centers, a.center_scale, a.noise, a.seed)
     vectors = synthetic.synthetic_vectors(spark, spec, a.n)
@@ -66,16 +76,24 @@ def main(argv: list[str] | None = None) -> None:
     else:
         index = ivfpq.open_index(spark, a.dir)
         queries = synthetic.planted_queries(spark, spec, a.n, a.nq).cache()
+        made = partial(synthetic.vectors_of, spec=spec)  # only a short list's vectors are made anew
         if a.command == "serve":
             from .serve import Service, serve
 
-            serve(Service(vectors, index=index, queries=queries, nprobe=a.nprobe, k=a.k, rerank=a.rerank), a.port).serve_forever()
+            serve(Service(vectors, index=index, queries=queries, vectors_of=made, nprobe=a.nprobe, k=a.k, rerank=a.rerank), a.port).serve_forever()
             return
         began = time.perf_counter()
-        found = ivfpq.search_and_rerank(index, vectors, queries, a.nprobe, a.k, a.rerank).cache()
+        found = ivfpq.search_and_rerank(index, made, queries, a.nprobe, a.k, a.rerank).cache()
         out |= {"hits": found.count(), "seconds": round(time.perf_counter() - began, 3)}
         out["queries_per_s"] = round(a.nq / out["seconds"], 1)
         out["planted_recall"] = evaluate.planted_recall(found, queries).first()[0]
+        if a.command == "bench":
+            if a.warmup == "true":
+                index = replace(index, codes=index.codes.persist())
+                index.codes.count()
+            took = np.sort(ivfpq.latencies(index, made, queries, a.nprobe, a.k, a.rerank))
+            rank = lambda p: round(float(took[int(p / 100 * (len(took) - 1) + 0.5)]), 3) if len(took) else 0.0
+            out["single_query_ms"] = {"mean": round(float(took.mean()), 3), "p50": rank(50), "p90": rank(90), "p99": rank(99), "max": rank(100), "p99_under_100": rank(99) < 100}
         if a.command == "recall":
             out["recall"] = evaluate.recall_at_k(found, topk.exact_topk(vectors, queries, a.k), queries, a.k).first()[0]
     print(json.dumps(out))

@@ -29,8 +29,9 @@ def norm(a: Column | str) -> Column:
 
 
 def normalize(a: Column | str, epsilon: float = 0.0) -> Column:
-    """Unit vector in double; NULL elements for the zero vector (unless epsilon is set)."""
-    return F.transform(_col(a), lambda x: F.try_divide(x.cast("double"), norm(a) + F.lit(epsilon)))
+    """Unit vector in double; NULL elements for the zero vector (unless epsilon is set). The norm is bound once, not for each element."""
+    scaled = lambda n: F.transform(_col(a), lambda x: F.try_divide(x.cast("double"), n + F.lit(epsilon)))
+    return F.get(F.transform(F.array(norm(a)), scaled), F.lit(0))
 
 
 def residual(a: Column | str, center: Column | str) -> Column:
@@ -59,11 +60,12 @@ def token_of_url(url: Column | str) -> Column:
 SQL_FUNCTIONS = {
     "l2_sq": "(a ARRAY<DOUBLE>, b ARRAY<DOUBLE>) RETURNS DOUBLE RETURN aggregate(zip_with(a, b, (x, y) -> (x - y) * (x - y)), 0D, (s, v) -> s + v)",
     "dot": "(a ARRAY<DOUBLE>, b ARRAY<DOUBLE>) RETURNS DOUBLE RETURN aggregate(zip_with(a, b, (x, y) -> x * y), 0D, (s, v) -> s + v)",
+    "normalize": "(a ARRAY<DOUBLE>) RETURNS ARRAY<DOUBLE> RETURN get(transform(array(sqrt(aggregate(transform(a, x -> x * x), 0D, (s, v) -> s + v))), n -> transform(a, x -> try_divide(x, n))), 0)",
     "cosine_unit": "(d DOUBLE) RETURNS DOUBLE RETURN 1D - d / 2D",
 }
 
 
 def register_sql_functions(spark: SparkSession) -> None:
-    """Temporary SQL functions l2_sq, dot and cosine_unit; they are inlined into the plan."""
+    """Temporary SQL functions l2_sq, dot, normalize and cosine_unit; they are inlined into the plan."""
     for name, body in SQL_FUNCTIONS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}{body}")

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import json
 from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -67,3 +68,25 @@ def gold_fraction(pixels: DataFrame) -> DataFrame:
     """(token, frac) over the patch of rows 30..51 and columns 24..41, greatest first, then greater token first."""
     patch = pixels.where(F.col("y").between(30, 51) & F.col("x").between(24, 41))
     return patch.groupBy("token").agg(F.avg(is_gold(F.col("r"), F.col("g"), F.col("b")).cast("double")).alias("frac")).orderBy(F.desc("frac"), F.desc("token"))
+
+
+def gold_list(shares: DataFrame, n: int = 60) -> DataFrame:
+    """(token, frac) of the n greatest shares, ties to the greater token."""
+    return shares.select("token", "frac").orderBy(F.desc("frac"), F.desc("token")).limit(n)
+
+
+def contact_sheet(scored: DataFrame, columns: int = 4, n: int = 16, score: str = "score") -> DataFrame:
+    """(row, col, token, score) of the n best tokens, laid out line by line; ties to the greater token."""
+    top = scored.select("token", F.col(score).alias("score")).orderBy(F.desc("score"), F.desc("token")).limit(n)
+    at = F.row_number().over(Window.orderBy(F.desc("score"), F.desc("token"))) - 1  # over n rows
+    return top.withColumn("at", at).select(F.floor(F.col("at") / columns).cast("int").alias("row"), (F.col("at") % columns).alias("col"), "token", "score")
+
+
+def write_embeddings(rows: DataFrame, encoder: Encoder, path: str, id_col: str, column: str, model: str = "") -> DataFrame:
+    """Encodes a column and writes (id, embedding) as Parquet and, last, a description; returns what was written."""
+    embed(rows, encoder, id_col, column).write.mode("overwrite").parquet(f"{path}/embeddings")
+    spark = rows.sparkSession
+    out = spark.read.parquet(f"{path}/embeddings")
+    size = out.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("d")).first()
+    spark.createDataFrame([(json.dumps({"n": size.n, "d": size.d, "model": model}),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
+    return out

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
-from dataclasses import asdict, dataclass
+import time
+from collections.abc import Callable
+from dataclasses import asdict, dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +17,10 @@ from . import quantize as Q
 from .topk import left_to_right, matrix, ranked, valid
 
 
+#: Look-up tables that a task keeps, and rows of a short list that are sent around.
+TABLES, SHORT_ROWS = 4096, 4 << 20
+
+
 @dataclass(frozen=True)
 class BuildParams:
     nlist: int = 1024
@@ -24,7 +30,8 @@ class BuildParams:
     coarse_iters: int = 10
     pq_iters: int = 10
     seed: int = 88172645463325252
-    buckets: int = 16
+    #: Folders of lists that a search can leave out; 0: one for each 4 million vectors, 16 at least.
+    buckets: int = 0
 
 
 @dataclass
@@ -68,9 +75,12 @@ def encode_vectors(vectors: DataFrame, centroids: np.ndarray, book: np.ndarray,
 def build(vectors: DataFrame, path: str, p: BuildParams = BuildParams(), id_col: str = "id") -> IvfPq:
     """Writes codes (by bucket of lists, sorted by list), quantizers and, last, the description."""
     spark = vectors.sparkSession
+    n = vectors.count()
+    p = replace(p, buckets=p.buckets or min(p.nlist, max(16, -(-n // (4 << 20)))))
+    files = max(1, -(-n * (p.m + 12) // (128 << 20)))  # of about 128 MB
     centroids, book = train(vectors, p, id_col)
     codes = encode_vectors(vectors, centroids, book, id_col).withColumn("bucket", F.col("list_id") % p.buckets)
-    codes.repartition("bucket", F.col("id") % 8).sortWithinPartitions("bucket", "list_id", "id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/codes")
+    codes.repartition(max(files, p.buckets), "bucket", F.pmod("id", F.lit(max(1, files // p.buckets)))).sortWithinPartitions("bucket", "list_id", "id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/codes")
     spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centroids)], "list_id int, embedding array<float>").write.mode("overwrite").parquet(f"{path}/centroids")
     spark.createDataFrame([(s, c, v.tolist()) for s, b in enumerate(book) for c, v in enumerate(b)], "s int, c int, sub array<float>").write.mode("overwrite").parquet(f"{path}/codebook")
     n = spark.read.parquet(f"{path}/codes").count()
@@ -114,23 +124,34 @@ def search(index: IvfPq, queries: DataFrame, nprobe: int, k: int) -> DataFrame:
 
     def run(batches):
         qids, q, probes, centers, book = shared.value
+        tables: dict[tuple[int, int], np.ndarray] = {}  # of a query in a list, for as long as the list goes on
         for batch in batches:
             lists, ids = batch.column("list_id").to_numpy(), batch.column("id").to_numpy()
             code = np.frombuffer(b"".join(batch.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)
             for c in np.unique(lists):
                 rows = np.flatnonzero(lists == c)
                 for j in probes[int(c)]:
-                    dist = Q.table_distance(Q.lookup_table(q[j] - centers[c], book), code[rows])
+                    if (j, int(c)) not in tables:
+                        if len(tables) >= TABLES:
+                            tables.clear()
+                        tables[j, int(c)] = Q.lookup_table(q[j] - centers[c], book)
+                    dist = Q.table_distance(tables[j, int(c)], code[rows])
                     best = np.lexsort((ids[rows], dist))[:k]
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), qids[j])), pa.array(ids[rows][best]), pa.array(dist[best])], ["qid", "id", "dist"])
 
     return ranked(codes.select("list_id", "id", "code").mapInArrow(run, "qid long, id long, dist double"), k)
 
 
-def rerank(vectors: DataFrame, queries: DataFrame, shortlist: DataFrame, k: int, id_col: str = "id") -> DataFrame:
-    """Exact distances of the shortlist, k best: a join on the id, then pairs of rows in numpy."""
-    pairs = shortlist.select("qid", "id").join(queries.select("qid", F.col("embedding").alias("q")), "qid")
-    pairs = pairs.join(vectors.select(F.col(id_col).cast("long").alias("id"), F.col("embedding").alias("x")), "id")
+def rerank(vectors: DataFrame, queries: DataFrame, shortlist: DataFrame, k: int, id_col: str = "id", rows: int | None = None) -> DataFrame:
+    """Exact distances of the shortlist, k best: a join on the id, then pairs of rows in numpy.
+
+    ``rows``: a bound of the short list's rows; up to SHORT_ROWS it goes to the vectors, so that these aren't shuffled.
+    """
+    short = shortlist.select("qid", "id")
+    if rows is not None and rows <= SHORT_ROWS:
+        short = F.broadcast(short)
+    pairs = vectors.select(F.col(id_col).cast("long").alias("id"), F.col("embedding").alias("x")).join(short, "id")
+    pairs = pairs.join(queries.select("qid", F.col("embedding").alias("q")), "qid")
 
     def run(batches):
         for batch in batches:
@@ -141,5 +162,21 @@ def rerank(vectors: DataFrame, queries: DataFrame, shortlist: DataFrame, k: int,
     return ranked(pairs.select("qid", "id", "q", "x").mapInArrow(run, "qid long, id long, dist double"), k)
 
 
-def search_and_rerank(index: IvfPq, vectors: DataFrame, queries: DataFrame, nprobe: int = 16, k: int = 10, shortlist: int = 256, id_col: str = "id") -> DataFrame:
-    return rerank(vectors, queries, search(index, queries, nprobe, shortlist), k, id_col)
+def search_and_rerank(index: IvfPq, vectors: DataFrame | Callable[[DataFrame], DataFrame], queries: DataFrame, nprobe: int = 16, k: int = 10, shortlist: int = 256, id_col: str = "id") -> DataFrame:
+    """``vectors``: a table, or a function from a table of ids to their vectors (id, embedding), where those can be made anew."""
+    short = search(index, queries, nprobe, shortlist)
+    if callable(vectors):
+        vectors, id_col = vectors(short.select("id").distinct()), "id"
+    return rerank(vectors, queries, short, k, id_col, queries.count() * shortlist)
+
+
+def latencies(index: IvfPq, vectors: DataFrame | Callable[[DataFrame], DataFrame], queries: DataFrame, nprobe: int, k: int, shortlist: int, untimed: int = 20) -> list[float]:
+    """Milliseconds of each query (a bounded set), asked one at a time; the first ``untimed`` are asked once more beforehand."""
+    spark, rows = queries.sparkSession, queries.select("qid", "embedding").collect()
+    took = []
+    for j, row in enumerate(rows[:untimed] + rows):
+        began = time.perf_counter()
+        search_and_rerank(index, vectors, spark.createDataFrame([row], "qid long, embedding array<float>"), nprobe, k, shortlist).collect()
+        if j >= min(untimed, len(rows)):
+            took.append((time.perf_counter() - began) * 1000)
+    return took

@@ -1,8 +1,11 @@
-"""Training: Lloyd's k-means over a bounded sample, product quantizer, encoding and table look-up distances."""
+"""Training: Lloyd's k-means over a bounded sample or all rows, product quantizer, encoding and table look-up distances."""
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions.rng import PQ_SALT, Streams
 
@@ -16,8 +19,44 @@ def distances(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
 
 
 def nearest(x: np.ndarray, centers: np.ndarray, block: int = 8192) -> np.ndarray:
-    """Nearest center of each row, ties to the lowest number."""
-    return np.concatenate([distances(x[a : a + block], centers).argmin(1) for a in range(0, len(x), block)] or [np.zeros(0, np.int64)])
+    """Nearest center of each row, ties to the lowest number. Matrix products choose candidates; where rounding leaves several, plain sums decide."""
+    c = np.asarray(centers, np.float64)
+    square = (c * c).sum(1)
+    out = np.zeros(len(x), np.int64)
+    for at in range(0, len(x), block):
+        part = np.asarray(x[at : at + block], np.float64)
+        crude = square[None, :] - 2 * (part @ c.T)
+        least = crude.min(1)
+        room = 1e-12 * ((part * part).sum(1) + square.max()) * part.shape[1]
+        near = crude <= (least + room)[:, None]
+        own = near.argmax(1)
+        for row in np.flatnonzero(near.sum(1) != 1):  # also rows that hold NaN, which have no candidate
+            few = np.flatnonzero(near[row]) if near[row].any() else np.arange(len(c))
+            own[row] = few[distances(x[at + row : at + row + 1], centers[few])[0].argmin()]
+        out[at : at + block] = own
+    return out
+
+
+def lloyd_on_all(vectors: DataFrame, centers: np.ndarray, steps: int) -> np.ndarray:
+    """Lloyd's steps over all rows of ``embedding``: sums by cluster and dimension in the tasks, means in double, kept as float32. An empty cluster stays where it is."""
+    centers = np.array(centers, np.float32)
+    k, d = centers.shape
+    for _ in range(steps):
+        shared = vectors.sparkSession.sparkContext.broadcast(centers)
+
+        def run(batches, shared=shared):
+            for batch in batches:
+                x = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+                own = nearest(x, shared.value)
+                n = np.bincount(own, minlength=k)
+                some = np.flatnonzero(n)
+                sums = np.stack([np.bincount(own, x[:, j].astype(np.float64), k)[some] for j in range(d)], axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(some, d)), pa.array(np.tile(np.arange(d), len(some))), pa.array(sums.reshape(-1)), pa.array(np.repeat(n[some], d))], ["c", "j", "x", "n"])
+
+        rows = vectors.select("embedding").mapInArrow(run, "c long, j long, x double, n long").groupBy("c", "j").agg((F.sum("x") / F.sum("n")).alias("x"))
+        for r in rows.collect():  # one row for each cluster and dimension
+            centers[r.c, r.j] = r.x
+    return centers
 
 
 def initial_rows(n: int, k: int, rng: Streams, redraws: int = 64) -> list[int]:

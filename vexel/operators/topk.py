@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import dot, l2_sq
 
-#: Queries are sent around in blocks of so many bytes at most.
-BLOCK_BYTES = 32 << 20
+#: Bytes of queries of a block, and vectors of one where both are dealt into blocks.
+BLOCK_BYTES, ROWS = 32 << 20, 1 << 16
 SLACK = 16
 
 
@@ -59,33 +59,56 @@ def best_rows(q: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, product: bo
 def exact_topk(vectors: DataFrame, queries: DataFrame, k: int, *, id_col: str = "id", product: bool = False, value: str = "dist") -> DataFrame:
     """(qid, rank, id, dist): the k nearest vectors of each query, ties to the smaller id; ``product``: by inner product, greatest first.
 
-    Queries are a bounded set: they go round in blocks of BLOCK_BYTES, one scan of the vectors for each block.
+    Up to BLOCK_BYTES of queries go round to one scan of the vectors. More queries are dealt into blocks of that size, the vectors into blocks
+    of ROWS, and each pair of blocks is one group; nothing but counts comes to the driver.
     """
     if k <= 0:
         return vectors.sparkSession.createDataFrame([], f"qid long, rank int, id long, {value} double")
-    rows = queries.select("qid", "embedding").where(F.col("embedding").isNotNull()).collect()
-    d = len(rows[0].embedding) if rows else 0
-    if any(len(r.embedding) != d for r in rows):
+    asked = queries.select("qid", "embedding").where(F.col("embedding").isNotNull())
+    size = asked.agg(F.count(F.lit(1)).alias("n"), F.min(F.size("embedding")).alias("least"), F.max(F.size("embedding")).alias("d")).first()
+    if size.least != size.d:
         raise ValueError("queries of different lengths")
+    d = size.d or 0
     base = valid(vectors.select(F.col(id_col).cast("long").alias("id"), "embedding"), d)
-    step = max(1, BLOCK_BYTES // max(1, 8 * d))
-    found = None
-    for at in range(0, max(1, len(rows)), step):
-        part = rows[at : at + step]
-        shared = vectors.sparkSession.sparkContext.broadcast((np.array([r.qid for r in part], np.int64), np.array([r.embedding for r in part], np.float64).reshape(len(part), d)))
-
-        def run(batches, shared=shared):
-            qids, q = shared.value
-            for batch in batches:
-                if len(batch) and len(qids):
-                    x, ids = matrix(batch.column("embedding"), d), batch.column("id").to_numpy()
-                    for a in range(0, len(qids), 256):
-                        row, hit, v = best_rows(q[a : a + 256], x, ids, k, product)
-                        yield pa.RecordBatch.from_arrays([pa.array(qids[a : a + 256][row]), pa.array(hit), pa.array(v)], ["qid", "id", value])
-
-        block = base.mapInArrow(run, f"qid long, id long, {value} double")
-        found = block if found is None else found.unionByName(block)
-    return ranked(found, k, value, descending=product)
+    blocks = max(1, -(-size.n * 8 * d // BLOCK_BYTES))
+    return ranked((_with_all if blocks == 1 else _by_blocks)(base, asked, k, d, product, value, blocks), k, value, descending=product)
+
+
+def _hits(qids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, product: bool, value: str):
+    for a in range(0, len(qids), 256):
+        row, hit, v = best_rows(q[a : a + 256], x, ids, k, product)
+        yield pa.RecordBatch.from_arrays([pa.array(qids[a : a + 256][row]), pa.array(hit), pa.array(v)], ["qid", "id", value])
+
+
+def _with_all(base: DataFrame, asked: DataFrame, k: int, d: int, product: bool, value: str, blocks: int) -> DataFrame:
+    rows = asked.collect()  # BLOCK_BYTES at most
+    shared = base.sparkSession.sparkContext.broadcast((np.array([r.qid for r in rows], np.int64), np.array([r.embedding for r in rows], np.float64).reshape(len(rows), d)))
+
+    def run(batches):
+        qids, q = shared.value
+        for batch in batches:
+            if len(batch):
+                yield from _hits(qids, q, batch.column("id").to_numpy(), matrix(batch.column("embedding"), d), k, product, value)
+
+    return base.mapInArrow(run, f"qid long, id long, {value} double")
+
+
+def _by_blocks(base: DataFrame, asked: DataFrame, k: int, d: int, product: bool, value: str, blocks: int) -> DataFrame:
+    parts = max(1, -(-base.count() // ROWS))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    block_of = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    left = asked.select(every(parts).alias("part"), block_of("qid", blocks).alias("block"), "qid", "embedding").toDF("of_part", "of_block", "qid", "q")
+    right = base.select(block_of("id", parts).alias("part"), every(blocks).alias("block"), "id", "embedding")
+
+    def run(_, left, right):
+        left, right = left.combine_chunks(), right.combine_chunks()
+        found = []
+        if len(left) and len(right):
+            q, x = (matrix(t.column(c).combine_chunks(), d) for t, c in ((left, "q"), (right, "embedding")))
+            found = list(_hits(left.column("qid").to_numpy(), q, right.column("id").to_numpy(), x, k, product, value))
+        return pa.Table.from_batches(found, pa.schema([("qid", pa.int64()), ("id", pa.int64()), (value, pa.float64())]))
+
+    return left.groupBy("of_part", "of_block").cogroup(right.groupBy("part", "block")).applyInArrow(run, f"qid long, id long, {value} double")
 
 
 def ranked(hits: DataFrame, k: int, value: str = "dist", descending: bool = False) -> DataFrame:

@@ -6,6 +6,7 @@ centroids; the codebook is one Lloyd step, over the first 500 vectors, from the
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,9 +17,10 @@ from ..functions import vectors as V
 from ..functions.rng import COARSE_SALT, Streams
 from ..operators import evaluate, ingest, ivfpq, topk
 from ..operators import quantize as Q
+from ..session import shared_folder
 from ..sources import synthetic
 
-LISTS, M, KSUB, NPROBE, SHORT, K, NQ = 8, 8, 16, 3, 40, 10, 20
+LISTS, M, KSUB, NPROBE, SHORT, K, EVERY = 8, 8, 16, 3, 40, 10, 100
 SEED = synthetic.DatasetSpec().seed
 
 
@@ -26,9 +28,9 @@ def emb(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/embeddings.parquet")
 
 
-def asked(spark: SparkSession, sf: str, n: int | None = NQ) -> DataFrame:
-    rows = emb(spark, sf).select(F.col("vec_id").alias("qid"), "embedding")
-    return rows if n is None else rows.where(F.col("qid") < n)
+def asked(spark: SparkSession, sf: str, every: int = EVERY) -> DataFrame:
+    """The queries of a search: rows whose id is divisible by ``every``."""
+    return emb(spark, sf).select(F.col("vec_id").alias("qid"), "embedding").where(F.col("qid") % every == 0)
 
 
 def _head(spark: SparkSession, sf: str, n: int) -> np.ndarray:
@@ -104,7 +106,7 @@ def filtered_topk(spark, sf):
 
 
 def brute_force_all(spark, sf):
-    return topk.exact_topk(emb(spark, sf), asked(spark, sf, None), K, id_col="vec_id")
+    return topk.exact_topk(emb(spark, sf), asked(spark, sf, 1), K, id_col="vec_id")
 
 
 def coarse_probe(spark, sf):
@@ -129,9 +131,8 @@ def kmeans_step(spark, sf):
 
 
 def kmeans_fit(spark, sf):
-    """Two steps, trained on all rows of the table, a bounded sample."""
-    x = np.array([r[0] for r in emb(spark, sf).orderBy("vec_id").limit(200_000).select("embedding").collect()], np.float32)
-    c = Q.lloyd(x, x[:LISTS], 2)
+    """Two steps over all rows of the table from its first rows."""
+    c = Q.lloyd_on_all(emb(spark, sf), _head(spark, sf, LISTS), 2)
     return spark.createDataFrame([(i, j, float(v)) for i, row in enumerate(c) for j, v in enumerate(row)], "list_id int, j int, x float")
 
 
@@ -155,7 +156,7 @@ def pq_encode(spark, sf):
 def adc_lut(spark, sf):
     t = trained(spark, sf)
     rows = []
-    for r in asked(spark, sf, 5).orderBy("qid").collect():
+    for r in asked(spark, sf).orderBy("qid").collect():
         q = np.array(r.embedding, np.float32)
         c = int(Q.distances(q[None], t.centroids)[0].argmin())
         rows += [(r.qid, c, s, k, float(d)) for s, line in enumerate(Q.lookup_table(q - t.centroids[c], t.book)) for k, d in enumerate(line)]
@@ -170,6 +171,19 @@ def ivfpq_rerank(spark, sf):
     return ivfpq.search_and_rerank(_index(spark, sf), emb(spark, sf), asked(spark, sf), NPROBE, K, SHORT, "vec_id")
 
 
+def index_search(spark, sf):
+    """An index of all rows, built, written, opened and asked: its training sample is bounded by ``n_train``, its shares of lists and rows make its recall."""
+    n = emb(spark, sf).count()
+    lists = max(4, min(1024, int(n**0.5)))
+    p = ivfpq.BuildParams(nlist=lists, m=32, ksub=min(256, max(4, n // 8)), coarse_iters=5, pq_iters=5)
+    index = ivfpq.build(emb(spark, sf), f"{shared_folder(spark)}/index-{uuid.uuid4().hex}", p, "vec_id")
+    return ivfpq.search_and_rerank(index, emb(spark, sf), asked(spark, sf), -(-3 * lists // 4), K, max(10 * K, n // 10), "vec_id")
+
+
+def index_recall(spark, sf):
+    return evaluate.recall_at_k(index_search(spark, sf), flat_l2_topk(spark, sf), asked(spark, sf), K)
+
+
 def recall_at_k(spark, sf):
     return evaluate.recall_at_k(ivfpq_rerank(spark, sf), flat_l2_topk(spark, sf), asked(spark, sf), K)
 
@@ -210,6 +224,25 @@ def gold_fraction(spark, sf):
     return ingest.gold_fraction(grid.select("token", "y", "x", (F.lit(150) + mix(3, 1, 1) / 3).cast("float").alias("r"), (F.lit(130) + mix(5, 1, 2) / 4).cast("float").alias("g"), mix(7, 2, 1).alias("b")))
 
 
+def gold_tokens(spark, sf):
+    return ingest.gold_list(gold_fraction(spark, sf), 6)
+
+
+def contact_sheet(spark, sf):
+    """The sixteen vectors with the greatest product with row 0, four to a line."""
+    asks = emb(spark, sf).where("vec_id = 0").select(F.lit(0).cast("long").alias("qid"), "embedding")
+    hits = topk.exact_topk(emb(spark, sf), asks, 16, id_col="vec_id", product=True, value="score")
+    return ingest.contact_sheet(hits.select(F.col("id").alias("token"), "score"))
+
+
+def normalize_sql(spark, sf):
+    """Unit vectors of tripled ones through the SQL function."""
+    V.register_sql_functions(spark)
+    emb(spark, sf).createOrReplaceTempView("vexel_embeddings")
+    unit = spark.sql("SELECT vec_id, normalize(transform(embedding, x -> CAST(x AS DOUBLE) * 3D)) AS u FROM vexel_embeddings")
+    return unit.select("vec_id", F.posexplode("u").alias("j", "x"))
+
+
 def index_stats(spark, sf):
     rows = emb(spark, sf).agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("d"))
     return rows.select("n", "d", F.lit(LISTS).alias("nlist"), F.lit(M).alias("bytes_per_vec"), (F.col("n") * F.lit(M) / F.lit(1e9)).alias("code_gb"))
@@ -237,7 +270,7 @@ def sql_functions(spark, sf):
 QUERIES = {f.__name__: f for f in (
     flat_l2_topk, flat_l2_topk_sql, flat_cosine_topk, dot_topk, vector_norm, normalize_scaled, baseline_subtract_search, filtered_topk, brute_force_all,
     coarse_probe, assign_nearest, kmeans_init, kmeans_step, kmeans_fit, list_sizes, residuals, pq_codebook, pq_encode, adc_lut, ivfpq_search,
-    ivfpq_rerank, recall_at_k, planted_recall, latency_percentiles, topk_merge, trait_map, trait_distribution, token_parse, gold_fraction, index_stats,
+    ivfpq_rerank, index_search, index_recall, recall_at_k, planted_recall, latency_percentiles, topk_merge, trait_map, trait_distribution, token_parse, gold_fraction, gold_tokens, contact_sheet, normalize_sql, index_stats,
     synth_vectors, planted_queries, embed_stub, sql_functions,
 )}
 
@@ -255,7 +288,7 @@ def _top(pairs: str, k: int = K, value: str = "dist", order: str = "dist") -> st
     return f"SELECT qid, rank, id, {value} FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY {order}, id)::INTEGER AS rank FROM ({pairs})) WHERE rank <= {k}"
 
 
-_Q = f"(SELECT vec_id AS qid, embedding AS q FROM embeddings WHERE vec_id < {NQ})"
+_Q = f"(SELECT vec_id AS qid, embedding AS q FROM embeddings WHERE vec_id % {EVERY} = 0)"
 _PAIRS = f"SELECT qid, vec_id AS id, {_d2('q', 'embedding')} AS dist FROM {_Q}, embeddings"
 _CHAIN = f"""
 WITH cent AS (SELECT vec_id::INTEGER AS list_id, embedding AS c FROM embeddings WHERE vec_id < {LISTS}),
@@ -304,7 +337,7 @@ ORACLE_SQL = {
     "residuals": _CHAIN + "SELECT vec_id, list_id, (j - 1)::INTEGER AS j, r[j] AS x FROM res, range(1, 65) t(j)",
     "pq_codebook": _CHAIN + "SELECT s, c, (j - 1)::INTEGER AS j, v[j] AS x FROM book, range(1, 9) t(j)",
     "pq_encode": _CHAIN + "SELECT list_id, vec_id AS id, string_agg(printf('%02X', c), '' ORDER BY s) AS code FROM code GROUP BY list_id, vec_id",
-    "adc_lut": _CHAIN + "SELECT lut.qid, lut.list_id, s, lut.c, d FROM lut JOIN (SELECT qid, min_by(list_id, dist) AS list_id FROM probe GROUP BY qid) USING (qid, list_id) WHERE qid < 5",
+    "adc_lut": _CHAIN + "SELECT lut.qid, lut.list_id, s, lut.c, d FROM lut JOIN (SELECT qid, min_by(list_id, dist) AS list_id FROM probe GROUP BY qid) USING (qid, list_id)",
     "ivfpq_search": _CHAIN + "SELECT qid, rank, id, dist FROM short",
     "ivfpq_rerank": _CHAIN + "SELECT qid, rank, id, dist FROM ranked",
     "recall_at_k": _CHAIN + f"SELECT sum(hits)::DOUBLE / (count(*) * {K}.0::DOUBLE) AS recall FROM (SELECT q.qid, count(t.id) AS hits FROM {_Q} q LEFT JOIN ranked r ON r.qid = q.qid LEFT JOIN truth t ON t.qid = r.qid AND t.id = r.id GROUP BY q.qid)",
@@ -317,6 +350,9 @@ ORACLE_SQL = {
     "gold_fraction": """WITH g AS (SELECT t.i // 4096 AS token, t.i % 4096 // 64 AS y, t.i % 64 AS x FROM range(81920) t(i)),
       p AS (SELECT token, (150 + ((token * 3 + y + x) % 256)::FLOAT::DOUBLE / 3)::FLOAT AS r, (130 + ((token * 5 + y + x * 2) % 256)::FLOAT::DOUBLE / 4)::FLOAT AS g, ((token * 7 + y * 2 + x) % 256)::FLOAT AS b FROM g WHERE y BETWEEN 30 AND 51 AND x BETWEEN 24 AND 41)
       SELECT token, avg((r > 170 AND g > 140 AND b < 110 AND abs(r - g) < 45 AND g - b > 70)::INTEGER::DOUBLE) AS frac FROM p GROUP BY token""",
+    "contact_sheet": f"SELECT ((r - 1) // 4)::INTEGER AS row, ((r - 1) % 4)::INTEGER AS col, token, score FROM (SELECT *, row_number() OVER (ORDER BY score DESC, token DESC) AS r FROM (SELECT b.vec_id AS token, {_dot('a.embedding', 'b.embedding')} AS score FROM embeddings a, embeddings b WHERE a.vec_id = 0)) WHERE r <= 16",
     "index_stats": f"SELECT count(*) AS n, max(len(embedding))::INTEGER AS d, {LISTS} AS nlist, {M} AS bytes_per_vec, count(*) * {M}::DOUBLE / 1e9::DOUBLE AS code_gb FROM embeddings",
     "sql_functions": f"SELECT vec_id, {_d2('embedding', 'l')} AS dist, {_dot('embedding', 'l')} AS product FROM embeddings, (SELECT embedding AS l FROM embeddings WHERE vec_id = 1)",
 }
+ORACLE_SQL["gold_tokens"] = f"SELECT * FROM ({ORACLE_SQL['gold_fraction']}) ORDER BY frac DESC, token DESC LIMIT 6"
+ORACLE_SQL["normalize_sql"] = ORACLE_SQL["normalize_scaled"]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import time
+from dataclasses import replace
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from urllib.parse import parse_qs, urlparse
 
@@ -18,10 +19,14 @@ MOST = 1000
 class Service:
     """Handles (method, path, body) and returns (status, object)."""
 
-    def __init__(self, vectors: DataFrame, *, id_col: str = "id", model: str = "", index: ivfpq.IvfPq | None = None, queries: DataFrame | None = None, encoder=None, nprobe: int = 16, k: int = 10, rerank: int = 16384):
+    def __init__(self, vectors: DataFrame, *, id_col: str = "id", model: str = "", index: ivfpq.IvfPq | None = None, queries: DataFrame | None = None, vectors_of=None, encoder=None, baseline: str = "", alpha: float = 0.5, nprobe: int = 16, k: int = 10, rerank: int = 16384):
         self.vectors, self.id_col, self.model, self.index, self.encoder = vectors.cache(), id_col, model, index, encoder
         self.queries = [] if queries is None else queries.orderBy("qid").collect()
+        self.baseline, self.alpha, self.vectors_of = baseline, alpha, vectors_of
         self.nprobe, self.k, self.rerank = nprobe, k, rerank
+        if index is not None:
+            self.index = replace(index, codes=index.codes.persist())  # resident codes
+            self.index.codes.count()
         self.n, self.d = vectors.count(), len(vectors.first()["embedding"])
 
     def info(self) -> dict:
@@ -41,16 +46,19 @@ class Service:
     def search_planted(self, j: int, nprobe: int, k: int) -> dict:
         q = self.queries[j % len(self.queries)]
         began = time.perf_counter()
-        hits = ivfpq.search_and_rerank(self.index, self.vectors, self._query(q.embedding), nprobe, min(k, MOST), self.rerank, self.id_col).orderBy("rank").collect()
+        hits = ivfpq.search_and_rerank(self.index, self.vectors_of or self.vectors, self._query(q.embedding), nprobe, min(k, MOST), self.rerank, self.id_col).orderBy("rank").collect()
         rows = [{"rank": h.rank, "id": h.id, "dist": round(h.dist, 4), "is_target": h.id == q.target_id} for h in hits]
         return {"query_index": j % len(self.queries), "target_id": q.target_id, "latency_ms": round((time.perf_counter() - began) * 1000, 3), "nprobe": nprobe, "k": k, "hit": any(r["is_target"] for r in rows), "results": rows}
 
     def search_text(self, text: str, k: int = 24) -> dict:
         began = time.perf_counter()
-        x = np.asarray(self.encoder([text]), np.float32)[0]
+        unit = lambda v: v / (float(np.linalg.norm(v)) + 1e-9)
+        x, *rest = (unit(v) for v in np.asarray(self.encoder([text, self.baseline] if self.baseline else [text]), np.float32))
+        if rest:  # what every text of the collection has in common counts less
+            x = unit(x - self.alpha * rest[0])
         encoded = (time.perf_counter() - began) * 1000
-        found = self.search_vector(x / max(float(np.linalg.norm(x)), 1e-9), k)
-        return {"query": text, "encode_ms": round(encoded, 3), "search_ms": found["latency_ms"], "total_ms": round((time.perf_counter() - began) * 1000, 3), "n": len(found["results"]), "results": found["results"]}
+        found = self.search_vector(x, k)
+        return {"query": text, "encode_ms": round(encoded, 3), "search_ms": found["latency_ms"], "total_ms": round((time.perf_counter() - began) * 1000, 3), "n": self.n, "results": found["results"]}
 
     def handle(self, method: str, path: str, body: bytes = b"") -> tuple[int, dict]:
         url = urlparse(path)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -10,3 +12,15 @@ def get_session(app: str = "vexel", **conf: str) -> SparkSession:
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
     return builder.getOrCreate()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, ``spark.checkpoint.dir``; a temporary one where that is unset and the master is local."""
+    conf = spark.sparkContext.getConf()
+    path = conf.get("spark.checkpoint.dir", None) or spark.conf.get("vexel.shared.dir", None)
+    if not path:
+        if not conf.get("spark.master", "").startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        path = "file://" + tempfile.mkdtemp(prefix="vexel-")
+        spark.conf.set("vexel.shared.dir", path)
+    return path

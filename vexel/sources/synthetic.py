@@ -49,7 +49,7 @@ def _lists(x: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(np.ascontiguousarray(x, np.float32).reshape(-1)))
 
 
-def _table(spark: SparkSession, n: int, start: int, make, names: list[str]) -> DataFrame:
+def _table(rows: DataFrame, make, names: list[str]) -> DataFrame:
     def run(batches):
         for batch in batches:
             ids = batch.column(0).to_numpy()
@@ -57,14 +57,19 @@ def _table(spark: SparkSession, n: int, start: int, make, names: list[str]) -> D
                 x, more = make(ids[at : at + BLOCK])
                 yield pa.RecordBatch.from_arrays([pa.array(ids[at : at + BLOCK]), _lists(x), pa.array(more)], names)
 
-    return spark.range(start, start + n).mapInArrow(run, f"{names[0]} long, embedding array<float>, {names[2]} long")
+    return rows.mapInArrow(run, f"{names[0]} long, embedding array<float>, {names[2]} long")
+
+
+def vectors_of(ids: DataFrame, spec: DatasetSpec) -> DataFrame:
+    """(id, embedding, center_id) of the ids of a one-column table: the vectors are made anew, not looked up."""
+    return _table(ids, spec.vectors, ["id", "embedding", "center_id"])
 
 
 def synthetic_vectors(spark: SparkSession, spec: DatasetSpec, n: int, start: int = 0) -> DataFrame:
     """(id, embedding, center_id); a lazy scan, generated where it is read."""
-    return _table(spark, n, start, spec.vectors, ["id", "embedding", "center_id"])
+    return vectors_of(spark.range(start, start + n), spec)
 
 
 def planted_queries(spark: SparkSession, spec: DatasetSpec, n: int, nq: int, noise: float = 0.02) -> DataFrame:
     """(qid, embedding, target_id)."""
-    return _table(spark, nq, 0, lambda ids: spec.queries(n, ids, noise), ["qid", "embedding", "target_id"])
+    return _table(spark.range(nq), lambda ids: spec.queries(n, ids, noise), ["qid", "embedding", "target_id"])
