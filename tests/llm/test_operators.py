@@ -248,3 +248,54 @@ def test_media_feature_reads_every_byte():
     found = [op3_media.describe(x) for x in short]
     assert all(len(x[7]) for x in found) and len({x[6] for x in found}) == len(short)
     assert not len(op3_media.describe(b"")[7])
+
+
+def test_one_of_repeated_ids_stays(spark):
+    """Ids with several texts, rows without an id and whole repeats: one row of each group, no text that is in no group with another goes."""
+    a, b, c = (" ".join(random.Random(k).choices(WORDS, k=200)) for k in range(3))
+    rows = [(1, a, "x"), (1, b, "y"), (None, a, "z"), (None, c, "p"), (None, c, "q"), (2, b, "r"), (3, None, "s"), (4, "", "t"), (1, a, "u")]
+    got = op7_simhash.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string, fp string")).collect()
+    assert sorted((str(r.doc_id), r.text or "") for r in got) == sorted([("1", a), ("1", b), ("None", c), ("3", "")])
+    assert op7_simhash.keep_one_of_each(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_quality_on_held_out_texts(spark):
+    """Scores follow the features that make the labels, also on held-out texts; one class only and no labels give plain scores."""
+    r = random.Random(8)
+    rows = [(i, " ".join(r.choices(WORDS, k=r.randint(40, 90))) + "." if i % 2 else "".join(r.choices("#$%&*0123456789", k=r.randint(100, 400)))) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = op5_quality.quality_scores(docs, spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, quality int")).collect()
+    out = [x for x in got if x.held_out]
+    assert len(got) == 600 and len(out) > 60 and all(0 <= x.score <= 1 for x in got)
+    assert sum(x.predicted == x.doc_id % 2 for x in out) >= 0.97 * len(out)
+    for y in (0, 1):
+        one = op5_quality.quality_scores(docs, spark.createDataFrame([(i, y) for i, _ in rows], "doc_id long, quality int")).collect()
+        assert len({round(x.score, 9) for x in one}) >= 1 and all((x.score >= 0.5) == bool(y) for x in one)
+    assert op5_quality.quality_scores(docs, spark.createDataFrame([], "doc_id long, quality int")).count() == 600
+
+
+def test_entropy_spans_equal_plain_windows(spark):
+    """Spans of windows whose entropy, computed anew for each, reaches the threshold."""
+    import math
+
+    r = random.Random(6)
+    sorts = ["0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "ab1", "0123456789"]
+    rows = [(i, " ".join(("é" if r.random() < 0.2 else "") + "".join(r.choices(r.choice(sorts), k=r.randint(5, 90))) for _ in range(r.randint(0, 8)))) for i in range(150)]
+    rows.append((900, "".join(r.choices(sorts[1], k=6000)) + " " + "9f" * 4000))
+    size = op10_secrets.WINDOW
+    entropy = lambda w: -sum(n / size * math.log2(n / size) for n in (w.count(c) for c in set(w)))
+    found = 0
+    for x in op10_secrets.secret_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        spans = {(s.start, s.end, op10_secrets.ORDER[s.kind]) for s in x.secret_spans}
+        for kind, pattern, least, letters in op10_secrets.ENTROPY:
+            for m in re.finditer(pattern, x.text):
+                run = m[0]
+                allowed = re.search(op10_secrets.ALLOW, run) is not None
+                high = [k for k in range(len(run) - size + 1) if entropy(run[k : k + size]) >= least - 1e-9]
+                clear = [k for k in range(len(run) - size + 1) if entropy(run[k : k + size]) >= least + 1e-9]
+                own = [(a, b) for a, b, k in spans if k == kind and m.start() <= a and b <= m.end()]
+                assert len(own) == (1 if clear and not allowed else len(own) if high and not allowed else 0) <= 1
+                if own:
+                    found += 1
+                    assert high and own[0] in {(m.start() + a, m.start() + b + size) for a in (high[0], (clear or high)[0]) for b in (high[-1], (clear or high)[-1])}
+    assert found > 50

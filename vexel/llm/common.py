@@ -2,33 +2,25 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Texts per Arrow batch. Long texts make large batches, so this stays small.
-BATCH_ROWS = 1000
+from ..session import shared_folder
+
+#: Texts and bytes per Arrow batch: many short texts or a few long ones.
+BATCH_ROWS, BATCH_BYTES = 1000, 64 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a local one only where that is unset."""
-    path = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("vexel.shared.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="vexel-")
-        spark.conf.set("vexel.shared.dir", path)
-    return path
-
-
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/vexel-{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/vexel-{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._vexel_path = path
@@ -47,6 +39,7 @@ def discard(df: DataFrame) -> None:
 def small_batches(spark: SparkSession) -> None:
     """Bound the Arrow batches of the Python operators (a session setting)."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def texts(docs: DataFrame, *more: str) -> DataFrame:

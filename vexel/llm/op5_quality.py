@@ -146,7 +146,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     spark = docs.sparkSession
     measured = common.materialize(document_features(docs), "features")
     known = common.labelled_sample(labels, "quality", HELD, sample)
-    rows = measured.dropDuplicates(["doc_id"]).join(F.broadcast(known), "doc_id").select("doc_id", "x", "y").collect()  # at most ``sample`` rows
+    # of an id in several rows the least features count; at most ``sample`` rows
+    rows = measured.join(F.broadcast(known), "doc_id").groupBy("doc_id", "y").agg(F.min("x").alias("x")).collect()
     rows.sort(key=lambda r: r.doc_id)
     x = np.array([r.x for r in rows], np.float32).reshape(-1, len(NAMES))
     model = spark.sparkContext.broadcast(AdditiveModel.fit(x, np.array([float(r.y > 0) for r in rows])))

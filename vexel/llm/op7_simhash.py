@@ -57,13 +57,19 @@ def fingerprint(text: str) -> int:
 def _fingerprint_batches(batches):
     for batch in batches:
         found = [fingerprint(t.as_py()) for t in batch.column("text")]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(found, pa.int64())], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("th"), pa.array(found, pa.int64())], ["doc_id", "th", "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id and fp (the 64 bits as a signed integer)."""
+    return _marked(docs).drop("th")
+
+
+def _marked(docs: DataFrame) -> DataFrame:
+    """doc_id, th (hash of the text; null: that of the empty one) and fp."""
     common.small_batches(docs.sparkSession)
-    return common.texts(docs).mapInArrow(_fingerprint_batches, "doc_id long, fp long")
+    rows = common.texts(docs).withColumn("th", F.xxhash64("text"))
+    return rows.mapInArrow(_fingerprint_batches, "doc_id long, th long, fp long")
 
 
 def block_masks(blocks: int = BLOCKS, distance: int = DISTANCE) -> list[int]:
@@ -183,14 +189,22 @@ def near_duplicates(docs: DataFrame, dense: int = DENSE) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """docs with one row of each group of near-duplicates, that of the least id. Rows without an id can't be named, so they stay."""
-    groups = near_duplicates(docs).where("doc_id is not null").where(F.col("doc_id") == F.col("component_id"))
-    kept = groups.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).toDF("_vexel_id", "_vexel_n")
-    named, times = F.col("_vexel_id"), F.col("_vexel_n")
-    joined = docs.join(kept, docs["doc_id"] == named, "left").where(named.isNotNull() | docs["doc_id"].isNull())
-    once = joined.where(times.isNull() | (times == 1)).select(*docs.columns)
-    # ids in several rows: one row of each (few, so these alone are dealt again)
-    again = joined.where(times > 1).select(*docs.columns).dropDuplicates(["doc_id"])
+    """docs with one row of each group of near-duplicates: that of the least id (nulls last), of an id with several texts that of the least hash.
+
+    A row that is repeated with id and text stays once, whichever of its other columns come first. Rows without an id are in groups too.
+    """
+    found = common.materialize(_marked(docs), "fingerprints")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
+    nodes = found.groupBy("fp").agg(F.min(place).alias("least"))
+    parts = connected_components(close_links(nodes.select("fp"))).withColumnRenamed("node", "fp")
+    kept = nodes.join(parts, "fp", "left").groupBy(F.coalesce("component", "fp")).agg(F.min("least").alias("least")).select("least.doc_id", "least.th")
+    times = found.groupBy("doc_id", "th").agg(F.count(F.lit(1)).alias("n")).where("n > 1").toDF("_vexel_id", "_vexel_th", "_vexel_n")
+    kept = kept.join(times, kept["doc_id"].eqNullSafe(times["_vexel_id"]) & (kept["th"] == times["_vexel_th"]), "left").select("doc_id", "th", "_vexel_n").toDF("_vexel_id", "_vexel_th", "_vexel_n")
+    text = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    joined = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_vexel_id"]) & (text == kept["_vexel_th"]))
+    once = joined.where("_vexel_n is null").select(*(docs[c] for c in docs.columns))
+    # rows that are repeated whole: one of each (few kinds, so these alone are dealt again)
+    again = joined.where("_vexel_n is not null").dropDuplicates(["_vexel_id", "_vexel_th"]).select(*(docs[c] for c in docs.columns))
     return once.unionByName(again)
 
 
