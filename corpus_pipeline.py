@@ -1,7 +1,9 @@
 """A training-data pipeline of five of the operators.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return the columns of
-documents. SQL can't express the stages, so they are tested against brute-force versions.
+documents. SQL can't express the stages; tests run them on planted documents, one after the other and whole.
+Defined results of every stage: null texts count as empty, rows without an id take part, repeated rows are treated alike, other columns stay as
+they are (n_chars follows the text), an empty table gives an empty one.
 """
 
 from __future__ import annotations
