@@ -299,3 +299,20 @@ def test_entropy_spans_equal_plain_windows(spark):
                     found += 1
                     assert high and own[0] in {(m.start() + a, m.start() + b + size) for a in (high[0], (clear or high)[0]) for b in (high[-1], (clear or high)[-1])}
     assert found > 50
+
+
+def test_lines_that_keep_a_stretch_share_a_key(spark):
+    """However many stretches a line has, each is a key: nine words in ten places changed leave some whole."""
+    rng = random.Random(11)
+    rows = []
+    for k in range(80):
+        line = ["a" + "".join(rng.choices("bcdefghijk", k=19)) for _ in range(14)]
+        near = list(line)
+        for i in rng.sample(range(14), 12):
+            near[i] = near[i][:9] + "z" + near[i][10:]
+        rows.append((k, " ".join(line), " ".join(near)))
+    table = spark.createDataFrame(rows, "k long, x string, y string")
+    for more in ("", " " + " ".join(f"a{i}" for i in range(20))):  # lines of few words, and of many
+        keys = [op9_lines.keys_of(F.concat(c, F.lit(more))) for c in ("x", "y")]
+        cut = table.select(F.arrays_overlap(*keys).alias("meet")).where("not meet")
+        assert cut.count() == 0
