@@ -316,3 +316,30 @@ def test_lines_that_keep_a_stretch_share_a_key(spark):
         keys = [op9_lines.keys_of(F.concat(c, F.lit(more))) for c in ("x", "y")]
         cut = table.select(F.arrays_overlap(*keys).alias("meet")).where("not meet")
         assert cut.count() == 0
+
+
+def test_line_groups_equal_all_pairs_that_share_a_key(spark):
+    """Lines around one passage, most of them near the threshold: the components are those of all links, also of those between two outsiders with many differing bits."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(3, 9)))
+    passage, tails = [word() for _ in range(40)], [[word() for _ in range(16)] for _ in range(12)]
+    lines = sorted({" ".join(passage + rng.choice(tails)[: rng.randint(4, 16)] + [word() for _ in range(rng.randint(0, 12))]) for _ in range(70)})
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    found = op9_lines.occurrences(docs, 5)
+    got = {r.node: r.component for r in op9_lines.line_groups(found, docs).collect()}
+    keys = {r.h: set(r["keys"]) for r in found.collect()}
+    texts = op9_lines.simhashes(op9_lines.texts_of(found.select("h").distinct(), docs)).cache()
+    of = lambda x: texts.select(*(F.col(c).alias(f"{c}_{x}") for c in texts.columns))
+    pairs = of("a").join(of("b"), (F.col("h_a") < F.col("h_b")) & op9_lines.may_link("_a", "_b")).select(F.col("h_a").alias("a"), F.col("h_b").alias("b"), F.col("t_a").alias("ta"), F.col("t_b").alias("tb"))
+    links = [(r.a, r.b) for r in op9_lines.compared(pairs).where("similar").collect() if keys[r.a] & keys[r.b]]
+    top = {h: h for h in keys}
+
+    def root(h):
+        while top[h] != h:
+            h = top[h]
+        return h
+
+    for a, b in links:
+        top[max(root(a), root(b))] = min(root(a), root(b))
+    groups = lambda of: sorted(sorted(h for h in keys if of(h) == g) for g in {of(h) for h in keys})
+    assert groups(lambda h: got.get(h, h)) == groups(root)
