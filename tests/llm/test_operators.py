@@ -343,3 +343,40 @@ def test_line_groups_equal_all_pairs_that_share_a_key(spark):
         top[max(root(a), root(b))] = min(root(a), root(b))
     groups = lambda of: sorted(sorted(h for h in keys if of(h) == g) for g in {of(h) for h in keys})
     assert groups(lambda h: got.get(h, h)) == groups(root)
+
+
+def test_outsiders_that_share_few_words_do_not_meet(spark, monkeypatch):
+    """Sketches let every pair pass that shares COMMON of its words and stop others in the join; the second step makes no pair that the first one made."""
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(3, 9)))
+    passage = [word() for _ in range(40)]
+    lines = [" ".join(passage[: rng.randint(5, 40)] + [word() for _ in range(rng.randint(0, 40))]) for _ in range(120)]
+    sketches = spark.createDataFrame(list(enumerate(lines)), "h long, t string").select("h", *op9_lines.word_sketch(F.col("t"))).cache()
+    of = lambda x: sketches.select(*(F.col(c).alias(f"{c}_{x}") for c in sketches.columns))
+    passed = {(r.h_a, r.h_b) for r in of("a").join(of("b"), (F.col("h_a") < F.col("h_b")) & op9_lines.may_share("_a", "_b")).select("h_a", "h_b").collect()}
+    words, share, stopped = [set(x.split(" ")) for x in lines], set(), 0
+    for a in range(len(lines)):
+        for b in range(a + 1, len(lines)):
+            if min(len(lines[a].split(" ")), len(lines[b].split(" "))) <= op9_lines.FEW or 2 * len(words[a] & words[b]) >= op9_lines.COMMON * (len(words[a]) + len(words[b])):
+                share.add((a, b))
+            stopped += (a, b) not in passed
+    unlike = len(lines) * (len(lines) - 1) // 2 - len(share)
+    assert share <= passed and stopped >= 0.7 * unlike > 0
+
+    made, write = [], op9_lines.common.materialize
+
+    def counted(rows, tag):
+        out = write(rows, tag)
+        if "apart" in out.columns:
+            made.append({(r.a, r.b) for r in out.collect()})
+        return out
+
+    monkeypatch.setattr(op9_lines.common, "materialize", counted)
+    tails = [[word() for _ in range(16)] for _ in range(6)]
+    lines = sorted({" ".join(passage + rng.choice(tails)[: rng.randint(6, 16)] + [word() for _ in range(rng.randint(0, 14))]) for _ in range(60)})
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    found = op9_lines.occurrences(docs, 5)
+    op9_lines.line_groups(found, docs)
+    text = {r.h: set(r.t.split(" ")) for r in op9_lines.texts_of(found.select("h").distinct(), docs).collect()}
+    few = lambda a, b: 2 * len(text[a] & text[b]) < 0.55 * (len(text[a]) + len(text[b]))
+    assert len(made) == 2 and made[0] and not made[0] & made[1] and not any(few(a, b) for pairs in made for a, b in pairs)
