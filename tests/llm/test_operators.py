@@ -3,6 +3,7 @@ import random
 import re
 import struct
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -380,3 +381,31 @@ def test_outsiders_that_share_few_words_do_not_meet(spark, monkeypatch):
     text = {r.h: set(r.t.split(" ")) for r in op9_lines.texts_of(found.select("h").distinct(), docs).collect()}
     few = lambda a, b: 2 * len(text[a] & text[b]) < 0.55 * (len(text[a]) + len(text[b]))
     assert len(made) == 2 and made[0] and not made[0] & made[1] and not any(few(a, b) for pairs in made for a, b in pairs)
+
+
+def test_line_keys_are_dealt_once_and_deleted(spark, monkeypatch):
+    """The keys take one exchange; the large tables of the line dedup are deleted once nothing reads them."""
+    written, write = {}, op9_lines.common.materialize
+
+    def kept(rows, tag):
+        out = write(rows, tag)
+        written[tag] = out._vexel_path
+        return out
+
+    monkeypatch.setattr(op9_lines.common, "materialize", kept)
+    line = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen"
+    docs = spark.createDataFrame([(1, line), (2, line + " more"), (3, line.upper())], "doc_id long, text string")
+    plan = op9_lines.members(op9_lines.occurrences(docs, 1)).groupBy("key").count()._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(h" not in plan
+    got = {r.doc_id: r.n_lines_dropped for r in op9_lines.dedup_lines(docs).collect()}
+    assert got == {1: 0, 2: 1, 3: 1}
+    assert all(not Path(written[tag].removeprefix("file:")).exists() for tag in ("occurrences", "keys", "texts"))
+
+
+def test_line_simhash_equals_a_count(spark):
+    """In narrow lanes and in wide ones."""
+    texts = spark.createDataFrame([(n, " ".join(f"w{i * n}" for i in range(n))) for n in (1, 2, 7, 255, 256, 700)], "h long, t string")
+    hashes = {r.h: r.xs for r in texts.select("h", F.transform(F.split("t", " "), lambda w: F.xxhash64(w)).alias("xs")).collect()}
+    for r in op9_lines.simhashes(texts).collect():
+        xs = hashes[r.h]
+        assert r.fp == sum(1 << b for b in range(60) if 2 * sum(x >> b & 1 for x in xs) > len(xs))
