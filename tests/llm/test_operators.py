@@ -409,3 +409,36 @@ def test_line_simhash_equals_a_count(spark):
     for r in op9_lines.simhashes(texts).collect():
         xs = hashes[r.h]
         assert r.fp == sum(1 << b for b in range(60) if 2 * sum(x >> b & 1 for x in xs) > len(xs))
+
+
+def test_line_features_equal_sketches(spark):
+    """The words of a line are counted as rows, once for its SimHash and its sketch; repeated words count once."""
+    texts = spark.createDataFrame([(n, " ".join(f"é{i * n % 40}" for i in range(n))) for n in (1, 5, 16, 17, 60, 300)], "h long, t string")
+    got = op9_lines.features(texts)
+    names = ["h", "few", "n", *(f"w{k}" for k in range(op9_lines.SKETCH))]
+    assert sorted(got.select(names).collect()) == sorted(texts.select("h", *op9_lines.word_sketch(F.col("t"))).collect())
+    assert {r.h: (r.len, r.bits) for r in got.collect()} == {r.h: (len(r.t), op9_lines.SHORT_BITS if len(set(r.t.split(" "))) <= op9_lines.FEW else op9_lines.BITS) for r in texts.collect()}
+
+
+def test_outsiders_meet_without_leads(spark, monkeypatch):
+    """A key's lead has met all its members, so it meets no outsider again; pairs are not joined anew to leave out those compared."""
+    rng = random.Random(14)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(3, 9)))
+    passage, tails, write, seen, plans = [word() for _ in range(40)], [[word() for _ in range(16)] for _ in range(6)], op9_lines.common.materialize, [], []
+
+    def kept(rows, tag):
+        plans.append(rows._jdf.queryExecution().optimizedPlan().toString())
+        out = write(rows, tag)
+        if tag == "outsiders":
+            seen.append([(r.key, r.h) for r in out.collect()])
+        return out
+
+    monkeypatch.setattr(op9_lines.common, "materialize", kept)
+    lines = sorted({" ".join(passage + rng.choice(tails)[: rng.randint(6, 16)] + [word() for _ in range(rng.randint(0, 14))]) for _ in range(50)})
+    two = [" ".join([*passage[::-1], *(word() for _ in range(40))]) for _ in range(2)]  # share stretches, and are unlike
+    found = op9_lines.occurrences(spark.createDataFrame(list(enumerate(lines + two)), "doc_id long, text string"), 5)
+    leads = {r.key: r.lead for r in op9_lines.members(found).collect()}
+    op9_lines.line_groups(found, spark.createDataFrame(list(enumerate(lines + two)), "doc_id long, text string"))
+    assert seen and seen[0] and all(leads[key] != h for rows in seen for key, h in rows)
+    assert all(sum(k == key for k, _ in rows) > 1 for rows in seen for key, _ in rows)
+    assert not any("Join LeftAnti, ((a#" in x for x in plans)
