@@ -442,3 +442,23 @@ def test_outsiders_meet_without_leads(spark, monkeypatch):
     assert seen and seen[0] and all(leads[key] != h for rows in seen for key, h in rows)
     assert all(sum(k == key for k, _ in rows) > 1 for rows in seen for key, _ in rows)
     assert not any("Join LeftAnti, ((a#" in x for x in plans)
+
+
+def test_line_texts_are_cut_once_and_pairs_not_exploded(spark, monkeypatch):
+    """The input is cut into lines once, the outsiders are gathered once for both steps, and no row is made for each end of a pair."""
+    rng = random.Random(15)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(3, 9)))
+    passage, tails, write, lines_of, tags, plans, scans = [word() for _ in range(40)], [[word() for _ in range(16)] for _ in range(4)], op9_lines.common.materialize, op9_lines.lines_of, [], [], []
+
+    def kept(rows, tag):
+        tags.append(tag)
+        plans.append(rows._jdf.queryExecution().optimizedPlan().toString())
+        return write(rows, tag)
+
+    monkeypatch.setattr(op9_lines.common, "materialize", kept)
+    monkeypatch.setattr(op9_lines, "lines_of", lambda *x: scans.append(x) or lines_of(*x))
+    lines = sorted({" ".join(passage + rng.choice(tails)[: rng.randint(6, 16)] + [word() for _ in range(rng.randint(0, 14))]) for _ in range(40)})
+    docs = spark.createDataFrame([(k, x + "\n" + x.upper()) for k, x in enumerate(lines)], "doc_id long, text string")
+    got = {r.doc_id: r.n_lines_dropped for r in op9_lines.dedup_lines(docs, short=True).collect()}
+    assert min(got.values()) >= 1 and max(got.values()) == 2
+    assert len(scans) == 1 and tags.count("outsiders") == 1 and "pairs" in tags
