@@ -462,3 +462,4 @@ def test_line_texts_are_cut_once_and_pairs_not_exploded(spark, monkeypatch):
     got = {r.doc_id: r.n_lines_dropped for r in op9_lines.dedup_lines(docs, short=True).collect()}
     assert min(got.values()) >= 1 and max(got.values()) == 2
     assert len(scans) == 1 and tags.count("outsiders") == 1 and "pairs" in tags
+    assert not any("explode(array(a#" in x for x in plans)
