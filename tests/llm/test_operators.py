@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from vexel.llm import op1_lm, op2_bpe, op3_media, op4_packing, op5_quality, op6_toxicity, op7_simhash, op8_knn, op9_lines, op10_secrets
+from vexel.llm import common, op1_lm, op2_bpe, op3_media, op4_packing, op5_quality, op6_toxicity, op7_simhash, op8_knn, op9_lines, op10_secrets
 
 WORDS = [f"w{k}" for k in range(60)]
 LONG = " ".join(random.Random(1).choices(WORDS, k=4000))
@@ -463,3 +463,21 @@ def test_line_texts_are_cut_once_and_pairs_not_exploded(spark, monkeypatch):
     assert min(got.values()) >= 1 and max(got.values()) == 2
     assert len(scans) == 1 and tags.count("outsiders") == 1 and "pairs" in tags
     assert not any("explode(array(a#" in x for x in plans)
+
+
+def test_line_sieve_sends_a_bit_for_each_line(spark, monkeypatch):
+    sent, broadcast = [], F.broadcast
+    monkeypatch.setattr(F, "broadcast", lambda df: sent.append(df) or broadcast(df))
+    wanted = spark.range(200_000).select(F.xxhash64("id").alias("h"))
+    rows = spark.range(100_000, 600_000).select(F.xxhash64("id").alias("h"), F.col("id").alias("t"))
+    left = {r.t for r in op9_lines.sieved(rows, wanted).collect()}
+    assert set(range(100_000, 200_000)) <= left and len(left) < 200_000  # none that is wanted goes, most others do
+    assert len(sent) == 1 and sent[0].count() <= op9_lines.SIEVE // 64
+
+
+def test_line_memory_goes_back(spark, monkeypatch):
+    assert isinstance(common.give_back(spark), bool)
+    called, give_back = [], common.give_back
+    monkeypatch.setattr(common, "give_back", lambda s: called.append(1) or give_back(s))
+    docs = spark.createDataFrame([(1, "one two three four five six"), (2, "one two three four five six")], "doc_id long, text string")
+    assert [r.n_lines_dropped for r in op9_lines.dedup_lines(docs).orderBy("doc_id").collect()] == [0, 1] and len(called) > 3
