@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from vexel.llm import common, op1_lm, op2_bpe, op3_media, op4_packing, op5_quality, op6_toxicity, op7_simhash, op8_knn, op9_lines, op10_secrets
+from vexel.llm import common, components, op1_lm, op2_bpe, op3_media, op4_packing, op5_quality, op6_toxicity, op7_simhash, op8_knn, op9_lines, op10_secrets
 
 WORDS = [f"w{k}" for k in range(60)]
 LONG = " ".join(random.Random(1).choices(WORDS, k=4000))
@@ -481,3 +481,13 @@ def test_line_memory_goes_back(spark, monkeypatch):
     monkeypatch.setattr(common, "give_back", lambda s: called.append(1) or give_back(s))
     docs = spark.createDataFrame([(1, "one two three four five six"), (2, "one two three four five six")], "doc_id long, text string")
     assert [r.n_lines_dropped for r in op9_lines.dedup_lines(docs).orderBy("doc_id").collect()] == [0, 1] and len(called) > 3
+
+
+def test_stars_take_no_round(spark, monkeypatch):
+    rounds, star = [], components._star
+    monkeypatch.setattr(components, "_star", lambda links, small: rounds.append(small) or star(links, small))
+    stars = spark.createDataFrame([(5, 1), (1, 7), (9, 8), (3, 3)], "a long, b long")
+    assert {tuple(r) for r in components.connected_components(stars).collect()} == {(1, 1), (5, 1), (7, 1), (8, 8), (9, 8)} and not rounds
+    chain = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(50, 52), (51, 52)], "a long, b long")
+    assert {tuple(r) for r in components.connected_components(chain).collect()} == {(k, 0) for k in range(41)} | {(k, 50) for k in (50, 51, 52)} and rounds
+    assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
