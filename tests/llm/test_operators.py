@@ -491,3 +491,18 @@ def test_stars_take_no_round(spark, monkeypatch):
     chain = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(50, 52), (51, 52)], "a long, b long")
     assert {tuple(r) for r in components.connected_components(chain).collect()} == {(k, 0) for k in range(41)} | {(k, 50) for k in (50, 51, 52)} and rounds
     assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_line_keys_stay_unwritten_and_texts_are_sieved_before_their_join(spark, monkeypatch):
+    """Keys of lines go to no file with the texts; a join below the sieve would shuffle the texts of all lines."""
+    columns, write = {}, op9_lines.common.materialize
+    monkeypatch.setattr(op9_lines.common, "materialize", lambda rows, tag: columns.setdefault(tag, rows.columns) and write(rows, tag))
+    line = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen"
+    docs = spark.createDataFrame([(1, line), (2, line + " more"), (3, "a b")], "doc_id long, text string")
+    assert {r.doc_id: r.n_lines_dropped for r in op9_lines.dedup_lines(docs, short=True).collect()} == {1: 0, 2: 1, 3: 0}
+    assert "t" in columns["occurrences"] and "keys" not in columns["occurrences"]
+    lines = spark.range(1000).select(F.xxhash64("id").alias("h"), F.col("id").cast("string").alias("t"))
+    picked = op9_lines.chosen(lines, lines.where("h % 100 = 7").select("h"))
+    joins = [x for x in picked._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join" in x]
+    assert len(joins) == 2 and "_block" not in joins[0] and "_block" in joins[1]
+    assert {r.t for r in picked.collect()} == {r.t for r in lines.where("h % 100 = 7").collect()}
