@@ -493,6 +493,21 @@ def test_stars_take_no_round(spark, monkeypatch):
     assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_texts_are_encoded_in_one_call(monkeypatch):
+    """Words that were not seen before take no call of their own."""
+    mine, calls = op4_packing.tokenizer(), []
+
+    class Counted:
+        def encode_to_numpy(self, text, own=mine.own, **kw):
+            calls.append(text)
+            return own.encode_to_numpy(text, **kw)
+
+    text = " ".join(f"word{k}x{k * k}" for k in range(500)) + " <|endoftext|> \n end"
+    want = mine.own.encode(text, allowed_special="all")
+    monkeypatch.setattr(mine, "own", Counted())
+    assert np.frombuffer(mine.packed(text), "<u4").tolist() == want and calls == [text]
+
+
 def test_line_keys_stay_unwritten_and_texts_are_sieved_before_their_join(spark, monkeypatch):
     """Keys of lines go to no file with the texts; a join below the sieve would shuffle the texts of all lines."""
     columns, write = {}, op9_lines.common.materialize

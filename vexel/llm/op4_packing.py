@@ -17,7 +17,6 @@ numbered by (bucket, doc_id, piece, crc), nulls first; repeated rows get places
 from __future__ import annotations
 
 import base64
-import re
 import zlib
 from bisect import bisect_left, insort
 from functools import lru_cache
@@ -34,43 +33,24 @@ from . import common
 CAPACITY, END = 1024, 2
 #: Pieces numbered in one window partition, about.
 BUCKET = 20_000
-MEMO = 600_000
 SPECIAL = "<|endoftext|>"
-SPACE = "\t-\r \x85\xa0  -     　"
-#: A blank between two white spaces, or between one and the end, is no certain cut.
-UNSURE = re.compile(rf"[{SPACE}] (?=[{SPACE}]|$)")
 
 
-class WordMemoTokenizer:
-    """ids of byte_bpe_50k; words between blanks are remembered, which is exact as the word pattern always cuts before a blank and a non-blank."""
+class ByteTokenizer:
+    """ids of byte_bpe_50k. A text is encoded in one call: where texts bring new words all along, a memo of words costs more than it saves."""
 
     def __init__(self, ranks_path: str):
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(ranks_path, "rb"))}
         self.own = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={SPECIAL: len(ranks)})
-        self.memo: dict[str, bytes] = {}
-
-    def plain(self, text: str) -> bytes:
-        return self.own.encode_to_numpy(text, allowed_special="all").astype("<u4").tobytes()
 
     def packed(self, text: str) -> bytes:
         """Little-endian 32-bit ids."""
-        if SPECIAL in text or UNSURE.search(text):
-            return self.plain(text)
-        memo, get = self.memo, self.memo.get
-        first, *words = text.split(" ")
-        found = [get(w) for w in words]
-        if None in found:
-            for k, w in enumerate(words):
-                if found[k] is None:
-                    found[k] = memo[w] = self.plain(" " + w)
-            if len(memo) > MEMO:
-                memo.clear()
-        return self.plain(first) + b"".join(found)
+        return self.own.encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False).tobytes()
 
 
 @lru_cache(maxsize=1)
-def tokenizer() -> WordMemoTokenizer:
-    return WordMemoTokenizer(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+def tokenizer() -> ByteTokenizer:
+    return ByteTokenizer(public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
 def cuts(n: int, capacity: int = CAPACITY) -> list[int]:
